@@ -67,17 +67,20 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The voting rules, by name, over the columns of ``with_counts``. Shares are in integers, so no rounding decides."""
-    c, n = F.col, F.col("n_words")
+    """The voting rules, by name, over the columns of ``with_counts``. Shares are in integers, so no rounding decides.
+
+    Most rules know one kind of junk and abstain on everything else; three also know a sign of good text.
+    """
+    c, n, never = F.col, F.col("n_words"), F.lit(False)
     return {
         "length": _vote(n >= 100, n < 50),
-        "word_length": _vote((c("word_chars") >= 3 * n) & (c("word_chars") <= 10 * n), (2 * c("word_chars") < 5 * n) | (c("word_chars") > 12 * n)),
-        "symbols": _vote(100 * c("n_symbols") <= c("word_chars"), 100 * c("n_symbols") > 8 * c("word_chars")),
-        "dup_lines": _vote((c("n_dup_lines") == 0) & (c("n_lines") >= 3), 100 * c("n_dup_lines") > 30 * c("n_lines")),
-        "repeats": _vote(100 * c("n_repeat_words") <= 15 * n, 100 * c("n_repeat_words") > 35 * n),
-        "distinct": _vote(100 * c("n_distinct") >= 40 * n, (100 * c("n_distinct") < 25 * n) & (n <= 2000)),
-        "capitals": _vote(100 * c("n_capitals") <= 10 * c("word_chars"), 100 * c("n_capitals") > 30 * c("word_chars")),
-        "sentences": _vote((n <= 60 * c("n_stops")) & (3 * c("n_stops") <= n), (n > 200 * c("n_stops")) & (n >= 40)),
+        "word_length": _vote((c("word_chars") >= 3 * n) & (c("word_chars") <= 8 * n), (2 * c("word_chars") < 5 * n) | (c("word_chars") > 14 * n)),
+        "distinct": _vote(100 * c("n_distinct") >= 40 * n, (100 * c("n_distinct") < 20 * n) & (n <= 2000)),
+        "symbols": _vote(never, 100 * c("n_symbols") > 8 * c("word_chars")),
+        "dup_lines": _vote(never, 100 * c("n_dup_lines") > 30 * c("n_lines")),
+        "repeats": _vote(never, 100 * c("n_repeat_words") > 35 * n),
+        "capitals": _vote(never, 100 * c("n_capitals") > 30 * c("word_chars")),
+        "sentences": _vote(never, (n > 400 * c("n_stops")) & (n >= 60)),
     }
 
 
@@ -87,44 +90,63 @@ def with_votes(counted: DataFrame, voting: dict[str, Column] | None = None) -> D
 
 @dataclass(frozen=True)
 class Accuracies:
-    """The share of good documents, and per rule P(votes good | good) and P(votes bad | bad), where it votes."""
+    """What is estimated: the share of good documents, and how often each rule votes either way on good and on bad ones."""
 
     prior: float
-    good: dict[str, float]
-    bad: dict[str, float]
+    names: tuple[str, ...]
+    bad_votes: tuple[tuple[float, float], ...]  # P(votes bad | good), P(votes bad | bad)
+    good_votes: tuple[tuple[float, float], ...]  # P(votes good | good), P(votes good | bad)
+
+    def accuracy(self, name: str) -> tuple[float, float]:
+        """P(right | votes), for documents that are good and for those that are bad."""
+        j = self.names.index(name)
+        (bg, bb), (gg, gb) = self.bad_votes[j], self.good_votes[j]
+        return gg / (gg + bg), bb / (bb + gb)
+
+    def weights(self) -> list[tuple[float, float]]:
+        """Log odds that a bad and a good vote add. Abstaining is no evidence, and a vote never argues against itself."""
+        return [(min(0.0, math.log(bg / bb)), max(0.0, math.log(gg / gb))) for (bg, bb), (gg, gb) in zip(self.bad_votes, self.good_votes, strict=True)]
 
     def log_odds(self) -> Column:
         out = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name in self.good:
-            g, b = self.good[name], self.bad[name]
-            out = out + F.when(F.col(PREFIX + name) == 1, math.log(g / (1 - b))).when(F.col(PREFIX + name) == -1, math.log((1 - g) / b)).otherwise(0.0)
+        for name, (minus, plus) in zip(self.names, self.weights(), strict=True):
+            out = out + F.when(F.col(PREFIX + name) == 1, plus).when(F.col(PREFIX + name) == -1, minus).otherwise(0.0)
         return out
 
 
-def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 50, prior: float = 0.85, accuracy: float = 0.85, weight: float = 0.02) -> Accuracies:
-    """Expectation maximisation over (votes, count). The prior accuracy counts as ``weight`` times the rows, which keeps the classes from changing places."""
+def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60, prior: float = 0.85, weight: float = 0.01) -> Accuracies:
+    """Expectation maximisation over (votes, count).
+
+    It starts from, and with ``weight`` times the rows leans to: bad votes are
+    rare on good documents, good votes half as usual on bad ones. This keeps
+    the two classes from changing places.
+    """
     total = sum(n for _, n in patterns)
     pseudo = max(1.0, weight * total)
-    keep = lambda x: min(0.99, max(0.55, x))
-    p, good, bad = prior, [accuracy] * len(names), [accuracy] * len(names)
+    usual = [(sum(n for v, n in patterns if v[j] == 1) + 1) / (total + 2) for j in range(len(names))]
+    start_bad, start_good = (0.01, 0.4), [(u, u / 2) for u in usual]
+    model = Accuracies(prior, tuple(names), (start_bad,) * len(names), tuple(start_good))
     for _ in range(rounds if total else 0):
-        (hit_g, all_g, hit_b, all_b), mass = ([0.0] * len(names) for _ in range(4)), 0.0
+        weights, base = model.weights(), math.log(model.prior / (1 - model.prior))
+        mass, sums = [0.0, 0.0], [[0.0] * 4 for _ in names]
         for votes, n in patterns:
-            x = math.log(p / (1 - p))
-            for j, v in enumerate(votes):
-                x += math.log(good[j] / (1 - bad[j])) if v == 1 else math.log((1 - good[j]) / bad[j]) if v == -1 else 0.0
-            q = 1 / (1 + math.exp(-x))
-            mass += q * n
+            x = base + sum(weights[j][v > 0] for j, v in enumerate(votes) if v)
+            q = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+            mass[0] += q * n
+            mass[1] += (1 - q) * n
             for j, v in enumerate(votes):
                 if v:
-                    all_g[j] += q * n
-                    all_b[j] += (1 - q) * n
-                    hit_g[j] += q * n * (v == 1)
-                    hit_b[j] += (1 - q) * n * (v == -1)
-        p = min(0.99, max(0.5, (mass + prior * pseudo) / (total + pseudo)))
-        good = [keep((h + accuracy * pseudo) / (a + pseudo)) for h, a in zip(hit_g, all_g, strict=True)]
-        bad = [keep((h + accuracy * pseudo) / (a + pseudo)) for h, a in zip(hit_b, all_b, strict=True)]
-    return Accuracies(p, dict(zip(names, good, strict=True)), dict(zip(names, bad, strict=True)))
+                    k = 0 if v < 0 else 2
+                    sums[j][k] += q * n
+                    sums[j][k + 1] += (1 - q) * n
+        share = lambda x, of, start: min(0.999, max(1e-4, (x + start * pseudo) / (of + pseudo)))
+        model = Accuracies(
+            min(0.995, max(0.3, (mass[0] + prior * pseudo) / (total + pseudo))),
+            tuple(names),
+            tuple((share(s[0], mass[0], start_bad[0]), share(s[1], mass[1], start_bad[1])) for s in sums),
+            tuple((share(s[2], mass[0], g[0]), share(s[3], mass[1], g[1])) for s, g in zip(sums, start_good, strict=True)),
+        )
+    return model
 
 
 def fit(voted: DataFrame, names: list[str] | None = None) -> Accuracies:
@@ -140,7 +162,7 @@ def judged(voted: DataFrame, model: Accuracies, threshold: float = 0.5) -> DataF
     n = F.col("n_words")
     return voted.withColumns({"quality": 1 / (1 + F.exp(-model.log_odds())), "base_failed": (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= threshold)
-    ).drop(*[PREFIX + x for x in model.good])
+    ).drop(*[PREFIX + x for x in model.names])
 
 
 def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
