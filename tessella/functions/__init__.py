@@ -1 +1 @@
-"""functions"""
+"""Column builders: element-wise functions with array-library edge rules."""
