@@ -394,3 +394,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     else:
         groups = groups.withColumnRenamed("least", "component_id")
     return profile.join(groups, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
+    """One row of every component, that of the smallest key, with all columns. Rows with a null key stay as they are.
+
+    Rows that share key and text count once; texts are moved once, by key.
+    """
+    done = written(classes(docs, key, text, k, num), "classes")
+    gone = done.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    left = docs.join(gone, key, "left_anti").select(*[f"`{x}`" for x in docs.columns])
+    if done.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        return left
+    named = left.where(F.col(key).isNotNull()).withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicates([key, "__h"]).drop("__h")
+    return named.unionByName(left.where(F.col(key).isNull()))

@@ -103,34 +103,40 @@ class Accuracies:
         (bg, bb), (gg, gb) = self.bad_votes[j], self.good_votes[j]
         return gg / (gg + bg), bb / (bb + gb)
 
-    def weights(self) -> list[tuple[float, float]]:
-        """Log odds that a bad and a good vote add. Abstaining is no evidence, and a vote never argues against itself."""
-        return [(min(0.0, math.log(bg / bb)), max(0.0, math.log(gg / gb))) for (bg, bb), (gg, gb) in zip(self.bad_votes, self.good_votes, strict=True)]
+    def weights(self) -> list[tuple[float, float, float]]:
+        """Log odds of good quality that a bad vote, no vote and a good vote add. A vote never argues against itself."""
+        out = []
+        for (bg, bb), (gg, gb) in zip(self.bad_votes, self.good_votes, strict=True):
+            none = math.log(max(1e-6, 1 - bg - gg) / max(1e-6, 1 - bb - gb))
+            out.append((min(0.0, math.log(bg / bb)), none, max(0.0, math.log(gg / gb))))
+        return out
 
     def log_odds(self) -> Column:
         out = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (minus, plus) in zip(self.names, self.weights(), strict=True):
-            out = out + F.when(F.col(PREFIX + name) == 1, plus).when(F.col(PREFIX + name) == -1, minus).otherwise(0.0)
+        for name, (minus, none, plus) in zip(self.names, self.weights(), strict=True):
+            out = out + F.when(F.col(PREFIX + name) == 1, plus).when(F.col(PREFIX + name) == -1, minus).otherwise(none)
         return out
 
 
-def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60, prior: float = 0.85, weight: float = 0.01) -> Accuracies:
+def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60, prior: float = 0.85, weight: float = 0.01, false_alarm: float = 0.001, lift: float = 1.2) -> Accuracies:
     """Expectation maximisation over (votes, count).
 
-    It starts from, and with ``weight`` times the rows leans to: bad votes are
-    rare on good documents, good votes half as usual on bad ones. This keeps
-    the two classes from changing places.
+    Rules are written to be precise, and each knows one kind of junk only, so
+    the kinds are held together by two bounds: on good documents a rule votes
+    bad at most ``false_alarm`` of the time, and good votes are at most
+    ``lift`` times as usual there as on bad ones. The start, which counts as
+    ``weight`` times the rows, is within them.
     """
     total = sum(n for _, n in patterns)
     pseudo = max(1.0, weight * total)
     usual = [(sum(n for v, n in patterns if v[j] == 1) + 1) / (total + 2) for j in range(len(names))]
-    start_bad, start_good = (0.01, 0.4), [(u, u / 2) for u in usual]
+    start_bad, start_good = (false_alarm, 0.4), [(u, u / lift) for u in usual]
     model = Accuracies(prior, tuple(names), (start_bad,) * len(names), tuple(start_good))
     for _ in range(rounds if total else 0):
         weights, base = model.weights(), math.log(model.prior / (1 - model.prior))
         mass, sums = [0.0, 0.0], [[0.0] * 4 for _ in names]
         for votes, n in patterns:
-            x = base + sum(weights[j][v > 0] for j, v in enumerate(votes) if v)
+            x = base + sum(weights[j][v + 1] for j, v in enumerate(votes))
             q = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
             mass[0] += q * n
             mass[1] += (1 - q) * n
@@ -141,10 +147,10 @@ def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
                     sums[j][k + 1] += (1 - q) * n
         share = lambda x, of, start: min(0.999, max(1e-4, (x + start * pseudo) / (of + pseudo)))
         model = Accuracies(
-            min(0.995, max(0.3, (mass[0] + prior * pseudo) / (total + pseudo))),
+            min(0.995, max(0.5, (mass[0] + prior * pseudo) / (total + pseudo))),
             tuple(names),
-            tuple((share(s[0], mass[0], start_bad[0]), share(s[1], mass[1], start_bad[1])) for s in sums),
-            tuple((share(s[2], mass[0], g[0]), share(s[3], mass[1], g[1])) for s, g in zip(sums, start_good, strict=True)),
+            tuple((min(false_alarm, share(s[0], mass[0], start_bad[0])), share(s[1], mass[1], start_bad[1])) for s in sums),
+            tuple((a := share(s[2], mass[0], g[0]), max(a / lift, share(s[3], mass[1], g[1]))) for s, g in zip(sums, start_good, strict=True)),
         )
     return model
 
