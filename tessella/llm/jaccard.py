@@ -19,16 +19,22 @@ Other sets ('hard' ones) are covered among themselves by the rarest shingles
 of their prefix of size - ceil(num/100 * size) + 1, of which linked sets share
 one. So no link is lost, and no signature is dropped for being common.
 
+Linked sets do not share one signature only, but at least as many as there are
+parts sure to be equal, less those not emitted. That number (``need``) goes
+with every set, so pairs that meet by chance in a few signatures fall out
+before anything is compared; this loses no link.
+
 Shuffle and skew: equal sets are one node (copies are never compared). Each
-task sorts its signatures and sends compressed runs per range of signatures;
-what repeats within a task is not sent again, so a range holds a signature at
-most once a chunk. Signatures with the same members become one bucket.
-Buckets are never expanded into all pairs at first: members are compared with
-one hub a round, verified links are contracted to components, and only buckets
-whose members still lie in several components go on; at the end the pairs
-across components that are left in them are compared. Verification is exact,
-on the whole sets, after the size bound and a parity sketch of 1,024 bits,
-whose distance never exceeds the true one.
+task sorts its signatures and sends compressed runs per range of signatures,
+where pairs of small buckets (up to ``SMALL`` members) are counted. Members of
+large buckets are never expanded into pairs: they go on as rows and are
+compared with one hub a round, verified links are contracted to components,
+and only buckets whose members still lie in several components stay; what is
+left after ``STAR_ROUNDS`` is compared across components. A signature very
+frequent within a task's chunk is sent once, its members as rows dealt out by
+member, so no range gathers a hot one. Verification is exact, on the whole
+sets, after the size bound and a parity sketch of 1,024 bits, whose distance
+never exceeds the true one.
 
 Defined results: null texts, empty texts and texts without words have the
 empty set, link with nothing and are components of their own; with fewer than
@@ -55,14 +61,19 @@ from tessella.llm.base import map_batches, small_batches, written
 from tessella.llm.components import components
 from tessella.llm.shingles import Shingler, fingerprint, mix
 
-#: Counters of the shingle histogram, sent in slices.
-COUNTERS, SLICES = 1 << 18, 16
+#: Counters of the shingle histogram (2**COUNTER_BITS), sent in slices; each task's counts stop at 255.
+COUNTER_BITS, SLICES = 22, 16
+COUNTERS = 1 << COUNTER_BITS
 #: Band limits grow by this factor.
 BAND = 1.5
 #: Signatures of a task's chunk, and about as many a range.
 CHUNK_ROWS, RANGE_ROWS = 1_500_000, 1_500_000
 SKETCH_WORDS = 16
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
+#: Members of a bucket whose pairs are counted at once; members within a chunk from which a signature counts as hot.
+SMALL, HOT = 48, 64
+#: Parts beyond the largest difference, as a share of it: they make shared signatures many, and informative.
+SLACK = 0.4
 
 
 @cache
@@ -89,7 +100,7 @@ class Instance:
         elif self.k < 12:
             self.n1, self.n2, self.k2 = self.k // 2 + 2, 3, 1
         else:
-            self.n1, self.n2, self.k2 = self.k + 1 + -(-self.k // 10), 1, 0
+            self.n1, self.n2, self.k2 = self.k + 1 + math.ceil(SLACK * self.k), 1, 0
         self.equal = self.n1 - self.k // (self.k2 + 1)
         self.subsets = np.array(list(combinations(range(self.n2), self.n2 - self.k2)))
         tags = np.arange(self.n1 * len(self.subsets), dtype=np.uint64) + np.uint64(1)
@@ -117,26 +128,38 @@ def instances(size: int, num: int) -> list[Instance]:
     return out
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, num: int) -> np.ndarray:
-    """All signatures of a non-empty set (sorted distinct hashes). frequent: by counter, whether its shingles count as such."""
-    common = frequent[(s >> np.uint64(64 - 18)).astype(np.int64)]
-    spread = mix(s, 3)
-    out, hard = [], False
+def counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def signatures(s: np.ndarray, frequent: np.ndarray, num: int) -> tuple[np.ndarray, int]:
+    """The signatures of a non-empty set (sorted distinct hashes), and how many of them a linked set shares at least.
+
+    frequent: by counter, whether its shingles count as such.
+    """
+    common = frequent[counter(s)]
+    spread = mix(s, 3) >> np.uint64(32)
+    out, need = [], 1 << 15
     for one in instances(len(s), num):
-        cell = ((spread >> np.uint64(32)) * np.uint64(one.n1 * one.n2) >> np.uint64(32)).astype(np.int64)
         total = one.n1 * one.n2
+        cell = (spread * np.uint64(total) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, cell, mix(s, 5))
         rare = np.bincount(cell, ~common, total) > 0
-        sums, rare = sums.reshape(one.n1, one.n2), rare.reshape(one.n1, one.n2)
-        informative = rare[:, one.subsets].any(2)
-        weight = mix(np.arange(one.n2, dtype=np.uint64), 7) | np.uint64(1)
-        values = mix((sums[:, one.subsets] * weight[one.subsets]).sum(2, dtype=np.uint64) + one.tags, 9)
+        if one.n2 == 1:
+            values, informative = mix(mix(sums, 7) + one.tags[:, 0], 9), rare
+            dull = total - int(rare.sum())
+        else:
+            sums, rare = sums.reshape(one.n1, one.n2), rare.reshape(one.n1, one.n2)
+            informative = rare[:, one.subsets].any(2)
+            weight = mix(np.arange(one.n2, dtype=np.uint64), 7) | np.uint64(1)
+            values = mix((sums[:, one.subsets] * weight[one.subsets]).sum(2, dtype=np.uint64) + one.tags, 9)
+            dull = int((~informative).any(1).sum())
         out.append(values[informative])
-        hard |= int((~informative).any(1).sum()) >= one.equal
-    if hard:
+        need = min(need, one.equal - dull)
+    if need < 1:
         out.append(mix(s[np.lexsort((s, common))][: len(s) - -(-num * len(s) // 100) + 1], 11))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), max(1, need)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -151,53 +174,53 @@ def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, n
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, keys = Shingler(k), np.zeros(COUNTERS, np.int64), pa.int64()
+        shingler, counts, keys = Shingler(k), np.zeros(COUNTERS, np.int32), pa.int64()
         schema = None
         for batch in batches:
             schema = schema or pa.schema([(key, batch.schema.field(key).type), ("n", pa.int64()), ("sid", pa.binary()), ("slice", pa.int32())])
             n, sid = [], []
             for value in batch.column(text).to_pylist():
                 s = shingler.of(value)
-                counts += np.bincount((s >> np.uint64(64 - 18)).astype(np.int64), minlength=COUNTERS) if len(s) > 20_000 else 0
-                if len(s) <= 20_000:
-                    np.add.at(counts, (s >> np.uint64(64 - 18)).astype(np.int64), 1)
+                np.add.at(counts, counter(s), 1)
                 n.append(len(s))
                 sid.append(fingerprint(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.nulls(len(n), pa.int32())], schema=schema)
         if counts.any():
-            parts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(counts, SLICES)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(np.minimum(counts, 255).astype(np.uint8), SLICES)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, schema.field(0).type), pa.nulls(SLICES, keys), pa.array(parts, pa.binary()), pa.array(range(SLICES), pa.int32())], schema=schema)
 
     def total(part: pa.Table) -> pa.Table:
         sums = np.zeros(COUNTERS // SLICES, np.int64)
         for x in part.column("sid").to_pylist():
-            sums += np.frombuffer(zlib.decompress(x), "<i8")
-        return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([sums.tobytes()], pa.binary())})
+            sums += np.frombuffer(zlib.decompress(x), np.uint8)
+        over = np.packbits(sums > max(20, 3 * shingles // COUNTERS)).tobytes()
+        return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([over], pa.binary())})
 
     both = written(docs.select(key, text).mapInArrow(run, StructType([kind, StructField("n", LongType()), StructField("sid", BinaryType()), *StructType.fromDDL("slice int").fields])), "profiles")
-    counts = np.zeros(COUNTERS, np.int64)
+    shingles = int(both.where("slice is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    frequent = np.zeros(COUNTERS, bool)
+    size = COUNTERS // SLICES
     for r in both.where("slice is not null").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():
-        counts[r.slice * (COUNTERS // SLICES) : (r.slice + 1) * (COUNTERS // SLICES)] = np.frombuffer(r.counts, "<i8")
-    shingles = int(counts.sum())
-    return both.where("slice is null").drop("slice"), counts > max(48, 3 * shingles // COUNTERS), shingles
+        frequent[r.slice * size : (r.slice + 1) * size] = np.unpackbits(np.frombuffer(bytes(r.counts), np.uint8))
+    return both.where("slice is null").drop("slice"), frequent, shingles
 
 
-def _pack(sig: np.ndarray, who: np.ndarray, again: np.ndarray, sids: list[bytes]) -> bytes:
-    """Signatures (ascending) as differences, members as indexes into the ids present, and whether the chunk has more of the signature."""
+def _pack(sig: np.ndarray, who: np.ndarray, sids: list[bytes], needs: np.ndarray) -> bytes:
+    """Signatures (ascending) as differences, and members as indexes into the ids present, which come with their needs."""
     used, index = np.unique(who, return_inverse=True)
-    steps = np.diff(sig, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    body = steps + index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(again).tobytes()
-    return len(sig).to_bytes(8, "little") + len(used).to_bytes(8, "little") + b"".join(sids[i] for i in used) + zlib.compress(body, 1)
+    body = np.diff(sig, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(sig).to_bytes(8, "little") + len(used).to_bytes(8, "little") + b"".join(sids[i] for i in used) + needs[used].astype("<u2").tobytes() + zlib.compress(body, 1)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, members as pairs of words, again)."""
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, index of the member, ids as pairs of words, needs)."""
     n, m = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
     ids = np.frombuffer(blob, "<u8", 2 * m, 16).reshape(m, 2)
-    body = np.frombuffer(zlib.decompress(blob[16 + 16 * m :]), np.uint8)
+    needs = np.frombuffer(blob, "<u2", m, 16 + 16 * m)
+    body = np.frombuffer(zlib.decompress(blob[16 + 18 * m :]), np.uint8)
     steps = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view("<u8").ravel()
     index = np.ascontiguousarray(body[8 * n : 12 * n].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(steps, dtype=np.uint64), ids[index], np.unpackbits(body[12 * n :], count=n).astype(bool)
+    return np.cumsum(steps, dtype=np.uint64), index.astype(np.int64), ids, needs
 
 
 def _binary(words: np.ndarray) -> pa.Array:
@@ -206,13 +229,14 @@ def _binary(words: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
 
 
-_BUCKET = pa.schema([("range", pa.int32()), ("blob", pa.binary()), ("bid", pa.binary()), ("sid", pa.binary())])
+_SENT = pa.schema([("range", pa.int32()), ("blob", pa.binary()), ("bid", pa.int64()), ("sid", pa.binary())])
+_MET = pa.schema([("bid", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("shared", pa.int64()), ("need", pa.int64())])
 
 
 def buckets(docs: DataFrame, text: str, k: int, num: int, frequent: np.ndarray, shingles: int) -> DataFrame:
-    """The written table (bid, sid) of all buckets with two members or more. A second pass over the texts."""
+    """The written table of what met: counted pairs (a, b, shared, need) of small buckets, and members (bid, a) of large ones. A second pass over the texts."""
     spark = docs.sparkSession
-    ranges = int(max(1, min(1 << 20, 0.9 * shingles // RANGE_ROWS + 1)))
+    ranges = int(max(1, min(1 << 20, 0.8 * shingles // RANGE_ROWS + 1)))
     shipped = spark.sparkContext.broadcast(np.packbits(frequent))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +244,7 @@ def buckets(docs: DataFrame, text: str, k: int, num: int, frequent: np.ndarray,
         seen: set[bytes] = set()
         sids: list[bytes] = []
         held: list[np.ndarray] = []
+        needs: list[int] = []
         rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -227,24 +252,26 @@ def buckets(docs: DataFrame, text: str, k: int, num: int, frequent: np.ndarray,
             who = np.repeat(np.arange(len(sids)), [len(x) for x in held])
             order = np.argsort(sig, kind="stable")
             sig, who = sig[order], who[order]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            again = np.concatenate([first[1:] == False, [False]]) & first  # noqa: E712
-            place = (sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            own = np.flatnonzero(first)
-            cuts = np.searchsorted(place[own], np.arange(ranges + 1, dtype=np.uint64))
-            r, blobs = [], []
+            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.append(at, len(sig)))
+            # A hot signature stays in the run HOT times, which marks it; its other members go by themselves.
+            extra = np.arange(len(sig)) - np.repeat(at, size) >= HOT
+            stay = np.flatnonzero(~extra)
+            place = (sig[stay] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            cuts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
+            r, blobs, need = [], [], np.array(needs)
             for i in range(ranges):
-                at = own[cuts[i] : cuts[i + 1]]
-                if len(at):
+                mine = stay[cuts[i] : cuts[i + 1]]
+                if len(mine):
                     r.append(i)
-                    blobs.append(_pack(sig[at], who[at], again[at], sids))
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(r), pa.binary()), pa.nulls(len(r), pa.binary())], schema=_BUCKET)
-            more = np.flatnonzero(~first)  # members after the first go on by themselves, dealt out by member
-            if len(more):
+                    blobs.append(_pack(sig[mine], who[mine], sids, need))
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.binary())], schema=_SENT)
+            if extra.any():
+                more = np.flatnonzero(extra)
                 table = np.frombuffer(b"".join(sids), "<u8").reshape(-1, 2)
-                for at in np.array_split(more, -(-len(more) // 100_000)):
-                    to = (table[who[at], 0] % np.uint64(ranges)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(at), pa.binary()), _binary(np.stack([sig[at], np.zeros_like(sig[at])], 1)), _binary(table[who[at]])], schema=_BUCKET)
+                for mine in np.array_split(more, -(-len(more) // 100_000)):
+                    to = (table[who[mine], 0] % np.uint64(ranges)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(mine), pa.binary()), pa.array(sig[mine].view(np.int64)), _binary(table[who[mine]])], schema=_SENT)
 
         for batch in batches:
             for value in batch.column(text).to_pylist():
@@ -253,46 +280,74 @@ def buckets(docs: DataFrame, text: str, k: int, num: int, frequent: np.ndarray,
                     continue
                 seen.add(sid)
                 sids.append(sid)
-                held.append(signatures(s, marks, num))
-                rows += len(held[-1])
+                own, need = signatures(s, marks, num)
+                held.append(own)
+                needs.append(need)
+                rows += len(own)
                 if rows >= CHUNK_ROWS:
                     yield from out()
-                    sids.clear(), held.clear(), seen.clear()
+                    sids.clear(), held.clear(), needs.clear(), seen.clear()
                     rows = 0
         if rows:
             yield from out()
 
     def meet(part: pa.Table) -> pa.Table:
-        loose = part.filter(part.column("bid").is_valid()).select(["bid", "sid"])
+        loose = part.filter(part.column("bid").is_valid())
+        n = len(loose)
+        tables = [pa.table([loose.column("bid").combine_chunks(), loose.column("sid").combine_chunks(), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_MET)] if n else []
         blobs = [x for x in part.column("blob").to_pylist() if x is not None]
-        tables = [loose.cast(pa.schema([("bid", pa.binary()), ("sid", pa.binary())]))]
         if blobs:
-            sig, who, again = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+            sig, who, ids, needs, at = [], [], [], [], 0
+            for x in map(_unpack, blobs):
+                sig.append(x[0])
+                who.append(x[1] + at)
+                ids.append(x[2])
+                needs.append(x[3])
+                at += len(x[2])
+            sig, who, ids, needs = (np.concatenate(x) for x in (sig, who, ids, needs))
             del blobs
-            order = np.lexsort((who[:, 1], who[:, 0], sig))
-            sig, who, again = sig[order], who[order], again[order]
-            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1]).any(1)])
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            at = np.flatnonzero(first)
-            loud = np.logical_or.reduceat(again, at)
-            members = np.add.reduceat(fresh.astype(np.int64), at)
-            # Buckets known to this range alone are named by their members, so that equal ones become one.
-            b1 = np.add.reduceat(np.where(fresh, mix(who[:, 0] ^ who[:, 1], 17), np.uint64(0)), at)
-            b2 = np.add.reduceat(np.where(fresh, mix(who[:, 0] + who[:, 1], 19), np.uint64(0)), at)
-            named = (members > 1) & ~loud
-            _, pick = np.unique(b1[named], return_index=True)
-            keep = np.zeros(len(at), bool)
-            keep[np.flatnonzero(named)[pick]] = True
-            keep |= loud
-            run = np.cumsum(first) - 1
-            rows = np.flatnonzero(keep[run] & fresh)
-            bid = np.where(loud[run[rows], None], np.stack([sig[rows], np.zeros(len(rows), np.uint64)], 1), np.stack([b1[run[rows]], b2[run[rows]]], 1))
-            tables.append(pa.table({"bid": _binary(bid), "sid": _binary(who[rows])}))
-        return pa.concat_tables(tables)
-
-    sent = docs.select(text).mapInArrow(emit, "range int, blob binary, bid binary, sid binary")
-    met = sent.groupBy("range").applyInArrow(meet, "bid binary, sid binary")
-    return written(met.distinct(), "buckets")
+            _, first, code = np.unique(ids[:, 0] ^ mix(ids[:, 1]), return_index=True, return_inverse=True)  # one number a set, whatever the chunk
+            who, ids, needs = code[who], ids[first], needs[first].astype(np.int64)
+            order = np.lexsort((who, sig))
+            sig, who = sig[order], who[order]
+            # Runs that are HOT long within a chunk have members elsewhere too; they are longer than SMALL.
+            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])])
+            sig, who = sig[fresh], who[fresh]
+            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.append(at, len(sig)))
+            keys = []
+            for m in np.unique(size[(size > 1) & (size <= SMALL)]):
+                starts, (i, j) = at[size == m], np.triu_indices(m, 1)
+                for some in np.array_split(starts, -(-len(starts) * len(i) // 4_000_000)):
+                    keys.append((who[some[:, None] + i] * len(ids) + who[some[:, None] + j]).ravel())
+            if keys:
+                key, shared = np.unique(np.concatenate(keys), return_counts=True)
+                a, b = key // len(ids), key % len(ids)
+                need = np.maximum(needs[a], needs[b])
+                swap = (ids[a, 0].byteswap() > ids[b, 0].byteswap()) | ((ids[a, 0] == ids[b, 0]) & (ids[a, 1].byteswap() > ids[b, 1].byteswap()))
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                tables.append(pa.table([pa.nulls(len(a), pa.int64()), _binary(ids[a]), _binary(ids[b]), pa.array(shared.astype(np.int64)), pa.array(need)], schema=_MET))
+            large = np.flatnonzero(np.repeat(size > SMALL, size))
+            if len(large):
+                n = len(large)
+                tables.append(pa.table([pa.array(sig[large].view(np.int64)), _binary(ids[who[large]]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_MET))
+        return pa.concat_tables(tables) if tables else _MET.empty_table()
+
+    sent = docs.select(text).mapInArrow(emit, "range int, blob binary, bid long, sid binary")
+    met = sent.groupBy("range").applyInArrow(meet, "bid long, a binary, b binary, shared long, need long")
+    return written(met, "met")
+
+
+def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b that share enough signatures; members bid, sid of large buckets), both written."""
+    large = written(met.where("bid is not null").select("bid", F.col("a").alias("sid")).distinct(), "large")
+    pairs = met.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    if large.isEmpty():
+        return written(pairs.where("shared >= need").select("a", "b"), "pairs"), large
+    # What two sets may share in large buckets isn't counted; it counts as shared in full.
+    inside = large.groupBy("sid").agg(F.count("*").alias("c"))
+    both = pairs.join(inside.select(F.col("sid").alias("a"), F.col("c").alias("ca")), "a", "left").join(inside.select(F.col("sid").alias("b"), F.col("c").alias("cb")), "b", "left")
+    return written(both.where(F.col("shared") + F.when(F.col("ca").isNull() | F.col("cb").isNull(), 0).otherwise(F.least("ca", "cb")) >= F.col("need")).select("a", "b"), "pairs"), large
 
 
 def sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -351,48 +406,41 @@ def verified(pairs: DataFrame, known: DataFrame, num: int) -> DataFrame:
     return both.where(100 * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def links(found: DataFrame, known: DataFrame, num: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links that connect whatever is connected, and the components (node, label) over them."""
-    active, tested, linked, labels = found, None, None, None
+def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> DataFrame:
+    """The components (node, label) of all links: of the candidate pairs, and within large buckets."""
+    linked = written(verified(pairs, known, num), "links")
+    labels = components(linked)
+    tested, active = pairs, large
     for r in range(STAR_ROUNDS + 1):
         if active.isEmpty():
             break
+        marked = active.select("bid", "sid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        mixed = marked.groupBy("bid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bid")
+        active = written(marked.join(mixed, "bid", "left_semi"), "active")
         if r < STAR_ROUNDS:
-            hubs = active.groupBy("bid").agg(F.min_by("sid", F.struct(F.xxhash64("sid", F.lit(r)), "sid")).alias("hub"))
-            pairs = active.join(hubs, "bid").where("sid <> hub")
-            if r:
-                pairs = pairs.join(active.groupBy("sid").agg(F.first("label").alias("hub_label")).withColumnRenamed("sid", "hub"), "hub").where("label <> hub_label")
-            pairs = pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+            hubs = active.groupBy("bid").agg(F.min_by(F.struct("sid", "label"), F.struct(F.xxhash64("sid", F.lit(r)), "sid")).alias("hub"))
+            met = active.join(hubs, "bid").where("label <> hub.label").select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"))
         else:
             other = active.select("bid", F.col("sid").alias("sid2"), F.col("label").alias("label2"))
-            pairs = active.join(other, "bid").where("sid < sid2 and label <> label2").select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
-        pairs = pairs.distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        fresh = written(verified(pairs, known, num), "links")
-        linked = fresh if linked is None else linked.unionByName(fresh)
+            met = active.join(other, "bid").where("sid < sid2 and label <> label2").select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
+        met = written(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(met)
+        linked = linked.unionByName(written(verified(met, known, num), "links"))
         labels = components(linked)
-        if r < STAR_ROUNDS:
-            marked = active.select("bid", "sid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-            mixed = marked.groupBy("bid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi" + (" and m > 2" if r == 0 else "")).select("bid")
-            active = written(marked.join(mixed, "bid", "left_semi"), "active")
-    return linked, labels
+    return labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key reachable by links, for every row."""
     docs = docs.select(key, text)
     profile, frequent, shingles = profiles(docs, key, text, k)
-    found = buckets(docs, text, k, num, frequent, shingles)
-    known = sets(docs, profile, found.select("sid").distinct(), key, text, k)
-    _, labels = links(found, known, num)
+    pairs, large = candidates(buckets(docs, text, k, num, frequent, shingles))
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(large.select("sid")).distinct()
+    labels = links(pairs, large, sets(docs, profile, wanted, key, text, k), num)
     groups = profile.where("sid is not null").groupBy("sid").agg(F.min(key).alias("least"))
-    if labels is not None:
-        groups = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        whole = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-        groups = groups.join(whole, "label").select("sid", "component_id")
-    else:
-        groups = groups.withColumnRenamed("least", "component_id")
+    groups = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    whole = groups.groupBy("label").agg(F.min("least").alias("component_id"))
+    groups = groups.join(whole, "label").select("sid", "component_id")
     return profile.join(groups, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
 
 
