@@ -1 +1 @@
-"""operators"""
+"""Relational operators: position, grouping, joins, sets, statistics, frames, matrices."""
