@@ -6,7 +6,7 @@ have in common (no look-around).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.math import col
@@ -131,11 +131,20 @@ def find_locations(s, pattern: str) -> Column:
     """array<struct<start, length>> of all matches, in characters from 0."""
     found = findall(s, pattern)
     gaps = F.split(col(s), pattern, -1)
-    step = lambda acc, x: F.array_append(acc, F.struct((F.coalesce(F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["length"], F.lit(0)) + x["gap"]).alias("start"), x["size"].alias("length")))
+    step = lambda acc, x: F.array_append(acc, F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["start"] + F.try_element_at(acc, F.lit(-1))["length"], F.lit(0)) + x["gap"]).alias("start"), x["size"].alias("length")))
     sizes = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"))
     return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,length:int>>")).otherwise(F.aggregate(sizes, F.array().cast("array<struct<start:int,length:int>>"), step))
 
 
+def locations(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, n, start, length): a row a match. Linear in the text, where ``find_locations`` copies its result for every match."""
+    found, gaps = findall(text, pattern), F.split(col(text), pattern, -1)
+    pairs = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"))
+    rows = df.select(key, F.monotonically_increasing_id().alias("__r"), pairs.alias("__p")).select(key, "__r", F.posexplode("__p").alias("n", "__e"))
+    before = F.sum(F.col("__e.gap") + F.col("__e.size")).over(Window.partitionBy("__r").orderBy("n"))
+    return rows.select(key, "n", (before - F.col("__e.size")).alias("start"), F.col("__e.size").alias("length"))
+
+
 def sub(s, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(col(s), pattern, replacement)
 

@@ -11,24 +11,29 @@ from tessella.functions.math import col
 UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "min": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
 
 
+def micros(t) -> Column:
+    """Microseconds since 1970, of timestamps with and without zone (the latter in the session's zone)."""
+    return F.unix_micros(col(t).cast("timestamp"))
+
+
 def _step(freq: str) -> int:
     number = freq.rstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return int(number or 1) * UNITS[freq[len(number) :].lower()]
 
 
 def floor(t, freq: str) -> Column:
-    us, n = F.unix_micros(col(t)), _step(freq)
+    us, n = micros(t), _step(freq)
     return F.timestamp_micros(us - F.pmod(us, F.lit(n)))
 
 
 def ceil(t, freq: str) -> Column:
-    us, n = F.unix_micros(col(t)), _step(freq)
+    us, n = micros(t), _step(freq)
     return F.timestamp_micros(us + F.pmod(-us, F.lit(n)))
 
 
 def round_(t, freq: str) -> Column:
     """Halves go to the even multiple."""
-    us, n = F.unix_micros(col(t)), _step(freq)
+    us, n = micros(t), _step(freq)
     low = us - F.pmod(us, F.lit(n))
     rest = us - low
     up = (2 * rest > n) | ((2 * rest == n) & (F.pmod(F.call_function("div", low, F.lit(n)), F.lit(2)) == 1))
@@ -38,7 +43,7 @@ def round_(t, freq: str) -> Column:
 def parts(t) -> dict[str, Column]:
     """All calendar fields by name."""
     t = col(t)
-    us = F.pmod(F.unix_micros(t), F.lit(1_000_000))
+    us = F.pmod(micros(t), F.lit(1_000_000))
     return {
         "nanosecond": F.lit(0),
         "microsecond": (us % 1000).cast("int"),
@@ -70,7 +75,7 @@ def isocalendar(t) -> Column:
 
 def timedelta_us(a, b) -> Column:
     """a - b in microseconds."""
-    return F.unix_micros(col(a)) - F.unix_micros(col(b))
+    return micros(a) - micros(b)
 
 
 def components(us) -> dict[str, Column]:

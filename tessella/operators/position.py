@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 
 def _columns(order: Sequence) -> list[Column]:
     return [x if isinstance(x, Column) else F.col(x) for x in order]
@@ -20,12 +22,14 @@ def _columns(order: Sequence) -> list[Column]:
 def with_position(df: DataFrame, order: Sequence, out: str = "pos", partitions: int | None = None) -> DataFrame:
     """Number the rows from 0 in the given (total) order.
 
-    Rows are sorted by range; each range is counted, and a row's number is its
-    place in its range plus the sizes of the ranges before.
+    Rows are sorted by range and written once (range limits are sampled, so
+    they must not be drawn twice); each range is counted, and a row's number is
+    its place in its range plus the sizes of the ranges before.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *_columns(order)).sortWithinPartitions(*_columns(order)).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
+    ranged = cut(ranged, "position")
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__first", "__before")
     return ranged.join(F.broadcast(before), "__p").withColumn(out, F.col("__m") - F.col("__first") + F.col("__before")).drop("__p", "__m", "__first", "__before")
@@ -74,6 +78,7 @@ def running(df: DataFrame, order: Sequence, value: Column, out: str, function: s
         return df.withColumn(out, agg(value).over(Window.partitionBy(*partition_by).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.withColumn("__x", value).repartitionByRange(n, *_columns(order)).withColumn("__p", F.spark_partition_id())
+    ranged = cut(ranged, "running")
     totals = ranged.groupBy("__p").agg(agg("__x").alias("__t"))
     carry = totals.withColumn("__c", agg("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", "__c")
     inside = Window.partitionBy("__p").orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,34 +1,20 @@
-"""Queries for the engine's own operators."""
+"""All queries of the engine's own operators, with their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessella.session import table
+from tessella.plans import relational, scalar, statistics  # noqa: F401  (they register themselves)
+from tessella.plans.registry import ORACLE, QUERIES, Query
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filter, arithmetic projection, two-key grouping and sort."""
-    lines = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (
-        lines.groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-            F.round(F.sum(net), 2).alias("sum_net"),
-            F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
-            F.count("*").alias("n"),
-        )
-        .orderBy("l_returnflag", "l_linestatus")
-    )
+    return relational.q_pricing_summary(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"q_pricing_summary": pricing_summary}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

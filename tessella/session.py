@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Array arithmetic wraps on overflow and never raises on a zero divisor, so ANSI mode is off.
 DEFAULTS = {
@@ -28,3 +31,20 @@ def get_session(master: str = "local[*]", app: str = "tessella", **extra: str) -
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write ``df`` into the folder of ``spark.checkpoint.dir`` (shared by driver and executors) and read it back.
+
+    What follows sees one fixed result, whatever is recomputed, and a lost
+    executor costs a re-read. Where the setting is absent, as in tests on one
+    machine, a temporary folder is used.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-"""streaming"""
+"""Structured Streaming (an extension)."""
