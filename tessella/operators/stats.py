@@ -69,8 +69,8 @@ def quantile_place(n: int, q: float, method: str) -> tuple[int, int, float]:
     if method == "closest_observation":
         h -= 0.5
         i = math.floor(h)
-        at = i if h == i and i % 2 == 1 else i + 1
-        return keep(at - 1 if h == i and i % 2 == 1 else i), keep(at - 1 if h == i and i % 2 == 1 else i), 0.0
+        at = keep(i - 1 if h == i and i % 2 == 0 else i)  # of two as near, the one of even rank
+        return at, at, 0.0
     raise ValueError(f"unknown method {method!r}")
 
 
