@@ -130,7 +130,7 @@ def tensor_bytes(mel: np.ndarray, seconds: float) -> bytes:
     """An IPC stream with start, end (seconds) and the block tensor."""
     n = -(-len(mel) // BLOCK)
     blocks = np.full((n, BLOCK, mel.shape[1]), FLOOR, np.float32)
-    blocks.reshape(n * BLOCK, -1)[: len(mel)] = mel
+    blocks.reshape(n * BLOCK, mel.shape[1])[: len(mel)] = mel
     kind = pa.fixed_shape_tensor(pa.float32(), (BLOCK, mel.shape[1]))
     storage = pa.FixedSizeListArray.from_arrays(pa.array(blocks.ravel()), BLOCK * mel.shape[1])
     start = np.arange(n) * BLOCK * seconds

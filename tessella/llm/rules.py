@@ -125,7 +125,7 @@ def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
     the kinds are held together by two bounds: on good documents a rule votes
     bad at most ``false_alarm`` of the time, and good votes are at most
     ``lift`` times as usual there as on bad ones. The start, which counts as
-    ``weight`` times the rows, is within them.
+    ``weight`` times the rows (the prior ten times as much), is within them.
     """
     total = sum(n for _, n in patterns)
     pseudo = max(1.0, weight * total)
@@ -147,7 +147,7 @@ def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
                     sums[j][k + 1] += (1 - q) * n
         share = lambda x, of, start: min(0.999, max(1e-4, (x + start * pseudo) / (of + pseudo)))
         model = Accuracies(
-            min(0.995, max(0.5, (mass[0] + prior * pseudo) / (total + pseudo))),
+            min(0.995, max(0.5, (mass[0] + 10 * prior * pseudo) / (total + 10 * pseudo))),
             tuple(names),
             tuple((min(false_alarm, share(s[0], mass[0], start_bad[0])), share(s[1], mass[1], start_bad[1])) for s in sums),
             tuple((a := share(s[2], mass[0], g[0]), max(a / lift, share(s[3], mass[1], g[1]))) for s, g in zip(sums, start_good, strict=True)),
