@@ -53,7 +53,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -132,34 +132,47 @@ def counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, num: int) -> tuple[np.ndarray, int]:
+def signatures(s: np.ndarray, counts: np.ndarray, limit: int, num: int) -> tuple[np.ndarray, int]:
     """The signatures of a non-empty set (sorted distinct hashes), and how many of them a linked set shares at least.
 
-    frequent: by counter, whether its shingles count as such.
+    counts: corpus counts by counter, of which those over ``limit`` are frequent.
+    A third of the signatures that are sure to be shared may be left out, and
+    those are the ones whose rarest shingle is the commonest: two linked sets
+    that leave out (need - 1) // 3 each still share (need + 2) // 3.
     """
-    common = frequent[counter(s)]
+    seen = counts[counter(s)]
+    common = seen > limit
     spread = mix(s, 3) >> np.uint64(32)
-    out, need = [], 1 << 15
+    out, grade, need = [], [], 1 << 15
     for one in instances(len(s), num):
         total = one.n1 * one.n2
         cell = (spread * np.uint64(total) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, cell, mix(s, 5))
-        rare = np.bincount(cell, ~common, total) > 0
+        rarest = np.full(total, 256, np.int64)
+        np.minimum.at(rarest, cell, seen.astype(np.int64))
+        rare = rarest <= limit
         if one.n2 == 1:
             values, informative = mix(mix(sums, 7) + one.tags[:, 0], 9), rare
             dull = total - int(rare.sum())
+            grade.append(rarest[informative])
         else:
             sums, rare = sums.reshape(one.n1, one.n2), rare.reshape(one.n1, one.n2)
             informative = rare[:, one.subsets].any(2)
             weight = mix(np.arange(one.n2, dtype=np.uint64), 7) | np.uint64(1)
             values = mix((sums[:, one.subsets] * weight[one.subsets]).sum(2, dtype=np.uint64) + one.tags, 9)
             dull = int((~informative).any(1).sum())
+            grade.append(rarest.reshape(one.n1, one.n2)[:, one.subsets].min(2)[informative])
         out.append(values[informative])
         need = min(need, one.equal - dull)
     if need < 1:
-        out.append(mix(s[np.lexsort((s, common))][: len(s) - -(-num * len(s) // 100) + 1], 11))
-    return np.unique(np.concatenate(out)), max(1, need)
+        out.append(mix(s[np.lexsort((s, seen))][: len(s) - -(-num * len(s) // 100) + 1], 11))
+        return np.unique(np.concatenate(out)), 1
+    leave = (need - 1) // 3
+    for i, one in enumerate(out):  # each instance by itself, as a pair may have only one in common
+        if leave and len(one) > leave:
+            out[i] = one[np.lexsort((one, grade[i]))[: len(one) - leave]]
+    return np.unique(np.concatenate(out)), (need + 2) // 3
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -168,8 +181,13 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def step(shingles: int) -> int:
+    """Counts are kept in these steps, so that three times the mean stays well below 255 at any size."""
+    return max(1, shingles // COUNTERS // 32)
+
+
 def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np.ndarray, int]:
-    """The written table (key, n, sid) of all rows, the frequent counters, and the number of shingles. One pass over the texts."""
+    """The written table (key, n, sid) of all rows, the corpus counts in ``step``s up to 255, and the number of shingles. One pass over the texts."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key]
 
@@ -193,16 +211,16 @@ def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, n
         sums = np.zeros(COUNTERS // SLICES, np.int64)
         for x in part.column("sid").to_pylist():
             sums += np.frombuffer(zlib.decompress(x), np.uint8)
-        over = np.packbits(sums > max(20, 3 * shingles // COUNTERS)).tobytes()
-        return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([over], pa.binary())})
+        graded = np.minimum(sums // step(shingles), 255).astype(np.uint8)
+        return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([graded.tobytes()], pa.binary())})
 
     both = written(docs.select(key, text).mapInArrow(run, StructType([kind, StructField("n", LongType()), StructField("sid", BinaryType()), *StructType.fromDDL("slice int").fields])), "profiles")
     shingles = int(both.where("slice is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    frequent = np.zeros(COUNTERS, bool)
+    counts = np.zeros(COUNTERS, np.uint8)
     size = COUNTERS // SLICES
     for r in both.where("slice is not null").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():
-        frequent[r.slice * size : (r.slice + 1) * size] = np.unpackbits(np.frombuffer(bytes(r.counts), np.uint8))
-    return both.where("slice is null").drop("slice"), frequent, shingles
+        counts[r.slice * size : (r.slice + 1) * size] = np.frombuffer(bytes(r.counts), np.uint8)
+    return both.where("slice is null").drop("slice"), counts, shingles
 
 
 def _pack(sig: np.ndarray, who: np.ndarray, sids: list[bytes], needs: np.ndarray) -> bytes:
@@ -233,14 +251,14 @@ _SENT = pa.schema([("range", pa.int32()), ("blob", pa.binary()), ("bid", pa.int6
 _MET = pa.schema([("bid", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("shared", pa.int64()), ("need", pa.int64())])
 
 
-def buckets(docs: DataFrame, text: str, k: int, num: int, frequent: np.ndarray, shingles: int) -> DataFrame:
+def buckets(docs: DataFrame, text: str, k: int, num: int, counts: np.ndarray, shingles: int) -> DataFrame:
     """The written table of what met: counted pairs (a, b, shared, need) of small buckets, and members (bid, a) of large ones. A second pass over the texts."""
     spark = docs.sparkSession
     ranges = int(max(1, min(1 << 20, 0.8 * shingles // RANGE_ROWS + 1)))
-    shipped = spark.sparkContext.broadcast(np.packbits(frequent))
+    shipped, limit = spark.sparkContext.broadcast(counts), max(20, 3 * shingles // COUNTERS) // step(shingles)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, marks = Shingler(k), np.unpackbits(shipped.value).astype(bool)
+        shingler, known = Shingler(k), shipped.value
         seen: set[bytes] = set()
         sids: list[bytes] = []
         held: list[np.ndarray] = []
@@ -280,7 +298,7 @@ def buckets(docs: DataFrame, text: str, k: int, num: int, frequent: np.ndarray,
                     continue
                 seen.add(sid)
                 sids.append(sid)
-                own, need = signatures(s, marks, num)
+                own, need = signatures(s, known, limit, num)
                 held.append(own)
                 needs.append(need)
                 rows += len(own)
@@ -392,24 +410,27 @@ def sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, key: str, text:
     return written(made.join(asked.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")), "sets")
 
 
+def near(na: str, nb: str, oa: str, ob: str, num: int) -> Column:
+    """What every linked pair meets, from sizes and sketches alone."""
+    apart = F.aggregate(F.zip_with(oa, ob, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return (num * F.greatest(na, nb) <= 100 * F.least(na, nb)) & ((100 + num) * apart <= (100 - num) * (F.col(na) + F.col(nb)))
+
+
 def verified(pairs: DataFrame, known: DataFrame, num: int) -> DataFrame:
     """The linked ones of the distinct pairs (a, b), decided on the whole sets."""
     small = known.select("sid", "n", "sketch")
     left = small.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("oa"))
     right = small.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("ob"))
-    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = pairs.join(left, "a").join(right, "b").where((num * F.greatest("na", "nb") <= 100 * F.least("na", "nb")) & ((100 + num) * apart <= (100 - num) * (F.col("na") + F.col("nb"))))
-    near = near.select("a", "b", "na", "nb")
+    close = pairs.join(left, "a").join(right, "b").where(near("na", "nb", "oa", "ob", num)).select("a", "b", "na", "nb")
     whole = known.select("sid", "shingles")
-    both = near.join(whole.withColumnsRenamed({"sid": "a", "shingles": "sa"}), "a").join(whole.withColumnsRenamed({"sid": "b", "shingles": "sb"}), "b")
+    both = close.join(whole.withColumnsRenamed({"sid": "a", "shingles": "sa"}), "a").join(whole.withColumnsRenamed({"sid": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> DataFrame:
     """The components (node, label) of all links: of the candidate pairs, and within large buckets."""
-    linked = written(verified(pairs, known, num), "links")
-    labels = components(linked)
+    labels = components(verified(pairs, known, num))
     tested, active = pairs, large
     for r in range(STAR_ROUNDS + 1):
         if active.isEmpty():
@@ -417,24 +438,31 @@ def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> Dat
         marked = active.select("bid", "sid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         mixed = marked.groupBy("bid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bid")
         active = written(marked.join(mixed, "bid", "left_semi"), "active")
+        if active.isEmpty():
+            break
         if r < STAR_ROUNDS:
             hubs = active.groupBy("bid").agg(F.min_by(F.struct("sid", "label"), F.struct(F.xxhash64("sid", F.lit(r)), "sid")).alias("hub"))
             met = active.join(hubs, "bid").where("label <> hub.label").select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"))
         else:
-            other = active.select("bid", F.col("sid").alias("sid2"), F.col("label").alias("label2"))
-            met = active.join(other, "bid").where("sid < sid2 and label <> label2").select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
+            # Sizes and sketches are tested within the join, so that only near pairs come out of it.
+            shown = active.join(known.select("sid", "n", "sketch"), "sid")
+            left = shown.select("bid", F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("oa"))
+            right = shown.select("bid", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("ob"))
+            on = (left["bid"] == right["bid"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near("na", "nb", "oa", "ob", num)
+            met = left.join(right, on).select("a", "b")
         met = written(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(met)
-        linked = linked.unionByName(written(verified(met, known, num), "links"))
-        labels = components(linked)
+        fresh = written(verified(met, known, num), "links")
+        if not fresh.isEmpty():  # what is connected already is one star a component
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh))
     return labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key reachable by links, for every row."""
     docs = docs.select(key, text)
-    profile, frequent, shingles = profiles(docs, key, text, k)
-    pairs, large = candidates(buckets(docs, text, k, num, frequent, shingles))
+    profile, counts, shingles = profiles(docs, key, text, k)
+    pairs, large = candidates(buckets(docs, text, k, num, counts, shingles))
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(large.select("sid")).distinct()
     labels = links(pairs, large, sets(docs, profile, wanted, key, text, k), num)
     groups = profile.where("sid is not null").groupBy("sid").agg(F.min(key).alias("least"))
