@@ -62,7 +62,7 @@ from tessella.llm.components import components
 from tessella.llm.shingles import Shingler, fingerprint, mix
 
 #: Counters of the shingle histogram (2**COUNTER_BITS), sent in slices; each task's counts stop at 255.
-COUNTER_BITS, SLICES = 22, 16
+COUNTER_BITS, SLICES = 24, 16
 COUNTERS = 1 << COUNTER_BITS
 #: Band limits grow by this factor.
 BAND = 1.5
@@ -445,10 +445,13 @@ def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> Dat
             met = active.join(hubs, "bid").where("label <> hub.label").select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"))
         else:
             # Sizes and sketches are tested within the join, so that only near pairs come out of it.
-            shown = active.join(known.select("sid", "n", "sketch"), "sid")
-            left = shown.select("bid", F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("oa"))
-            right = shown.select("bid", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("ob"))
-            on = (left["bid"] == right["bid"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near("na", "nb", "oa", "ob", num)
+            # A pair comes out of the least of its common buckets (as far as the lists of least buckets tell).
+            least = active.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("bid")), 1, 64).alias("bids"))
+            shown = active.join(known.select("sid", "n", "sketch"), "sid").join(least, "sid")
+            left = shown.select(F.col("bid").alias("xa"), F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("oa"), F.col("bids").alias("ba"))
+            right = shown.select(F.col("bid").alias("xb"), F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("ob"), F.col("bids").alias("bb"))
+            on = (F.col("xa") == F.col("xb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near("na", "nb", "oa", "ob", num)
+            on = on & ~F.coalesce(F.array_min(F.array_intersect("ba", "bb")) < F.col("xa"), F.lit(False))
             met = left.join(right, on).select("a", "b")
         met = written(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(met)

@@ -203,9 +203,10 @@ def test_jaccard_join_on_empty_and_null_keys(spark):
 def test_linked_sets_share_as_many_signatures_as_needed():
     """The bound itself, on random pairs right at the threshold, with frequent shingles among them."""
     rng = np.random.default_rng(4)
+    shared_counts = [rng.integers(0, most, jaccard.COUNTERS).astype(np.uint8) for most in (10, 25, 60)]
     for trial in range(300):
         n = int(rng.choice([1, 2, 3, 5, 8, 13, 30, 77, 200, 700]))
-        counts = rng.integers(0, rng.choice([10, 25, 60]), jaccard.COUNTERS).astype(np.uint8)
+        counts = shared_counts[trial % 3]
         a = np.unique(shingles.mix(rng.integers(0, 1 << 60, n).astype(np.uint64)))
         lost, gained = int(rng.integers(0, len(a) // 4 + 1)), 0
         while 100 * (len(a) - lost) >= 75 * (len(a) + gained + 1) and rng.random() < 0.9:
