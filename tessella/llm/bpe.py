@@ -143,8 +143,19 @@ def word_counts(docs: DataFrame, text: str = "text", flush: int = 200_000) -> Da
 
 
 def word_table(docs: DataFrame, path: str, text: str = "text", hot_words: int = 131_072) -> DataFrame:
-    """(word, n, ids): the ``hot_words`` most frequent distinct words, each encoded once."""
-    hot = written(word_counts(docs, text).orderBy(F.desc("n"), "word").limit(hot_words), "words")
+    """(word, n, ids): at most ``hot_words`` of the most frequent distinct words, each encoded once.
+
+    Frequencies are counted in steps of a sixteenth of an octave, and the
+    words of whole steps are taken from the top: no task sorts or gathers words.
+    """
+    counted = written(word_counts(docs, text), "words").withColumn("step", F.floor(F.log2("n") * 16))
+    room, least = hot_words, None
+    for r in sorted(counted.groupBy("step").count().collect(), key=lambda r: -r.step):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    hot = counted.where(F.col("step") >= F.lit(least if least is not None else 1 << 20)).select("word", "n")
 
     def make():
         encoder = WordEncoder(path)
