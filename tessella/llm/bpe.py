@@ -42,9 +42,9 @@ from tessella.llm.base import map_batches, small_batches, strings, written
 WORD_LIMIT = 64
 #: str.split() also cuts at these four, which are not white space in Unicode.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Words of these characters need no normalisation beyond lower case.
-_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+")
+_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
 
 
