@@ -223,12 +223,56 @@ class Groups:
 KINDS = ("sum", "count", "prod", "var", "std", "mean", "median", "min", "max", "argmin", "argmax", "nunique", "any", "all", "or", "and", "xor", "first", "last", "mode", "unique", "skew")
 
 
+class Accessor:
+    """The functions of a module, applied to a Series' values: ``s.str.upper()``, ``s.dt.floor("h")``."""
+
+    def __init__(self, series: Series, module):
+        self.series, self.module = series, module
+
+    def __getattr__(self, name: str):
+        f = getattr(self.module, name)
+        return lambda *args, **more: self.series._new(f("value", *args, **more))
+
+
 class Series:
     """(index, value)."""
 
     def __init__(self, df: DataFrame, index: str = "index", name: str = "value"):
         self.df, self.index, self.name = df, index, name
 
+    @property
+    def str(self) -> Accessor:
+        from tessella.functions import strings
+
+        return Accessor(self, strings)
+
+    @property
+    def dt(self) -> Accessor:
+        from tessella.functions import times
+
+        return Accessor(self, times)
+
+    def part(self, name) -> Series:
+        """A calendar field of timestamps."""
+        from tessella.functions import times
+
+        return self._new(times.parts("value")[name])
+
+    def map(self, table: dict) -> Series:
+        pairs = [F.lit(x) for kv in table.items() for x in kv]
+        return self._new(F.try_element_at(F.create_map(*pairs), F.col("value")))
+
+    def head(self, n: int = 5) -> Series:
+        return Series(self.df.orderBy(self.index).limit(n), self.index, self.name)
+
+    def tail(self, n: int = 5) -> Series:
+        return Series(position.tail(self.df, [self.index], n), self.index, self.name)
+
+    def iloc(self, start: int, stop: int) -> Series:
+        """By place in index order, whatever the labels."""
+        numbered = position.with_position(self.df, [self.index], "__pos")
+        return Series(numbered.where((F.col("__pos") >= start) & (F.col("__pos") < stop)).drop("__pos"), self.index, self.name)
+
     def _value(self, kind: str):
         row = g.whole(self.df, {"x": (kind, "value")}, [self.index]).first()
         return row["x"][self.index] if kind.startswith("arg") and row["x"] is not None else row["x"]

@@ -141,6 +141,13 @@ def test_frame(spark):
     assert f.append(f).df.agg(F.max("index")).first()[0] == 5
 
 
+def test_series_accessors(spark):
+    f = frame.Frame.of(spark.createDataFrame([(1, "ab"), (2, "Cd")], "o int, s string"), ["o"])
+    s = f["s"]
+    assert [r.value for r in s.str.upper().sort_index().collect()] == ["AB", "CD"] and [r.value for r in s.iloc(1, 2).df.collect()] == ["Cd"]
+    assert [r.value for r in s.map({"ab": 1}).sort_index().collect()] == [1, None] and s.head(1).df.count() == 1
+
+
 def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 1.5), (2, None, None)], "i long, s string, v double")
     for kind in ("parquet", "orc", "json"):
