@@ -175,6 +175,7 @@ def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5
     """The documents kept, with their columns. Counts are made twice (to fit, to judge): cheaper than storing or moving texts."""
     names = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    voted = with_votes(with_counts(boxed, "__text"))
+    # A column that is not deterministic keeps the filter above the counts; pushed below them it would repeat them for every use.
+    counted = with_counts(boxed, "__text").withColumn("__at", F.monotonically_increasing_id())
     model = fit(with_votes(with_counts(docs.select(F.col(f"`{text}`").alias("__text")), "__text")))
-    return judged(voted, model, threshold).where("kept").select("__row.*")
+    return judged(with_votes(counted), model, threshold).where(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
