@@ -7,8 +7,10 @@ one machine) a folder of our own is chosen and set.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,8 +44,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once a Spark application, so that their workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessella-"), "tessella.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("tessella", os.path.relpath(full, package)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch may hold, so that long texts don't fill a Python worker."""
+    """Bound what an Arrow batch may hold, so that long texts don't fill a Python worker; make the package known to workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
