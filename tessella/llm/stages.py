@@ -15,6 +15,8 @@ from tessella.llm.queries import vocabulary
 
 #: Documents at or above this probability of toxicity are rejected.
 TOXIC = 0.3
+#: A line on a larger share of a source's pages is boilerplate. License lines stand on 0.5 to 0.8 %, one-word lines of their own on less.
+REPEATED = 0.005
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop boilerplate lines by source; ``n_chars`` follows the text. No document goes, though its text may become empty."""
-    out = lines.dedup(docs).select(*docs.columns)
+    out = lines.dedup(docs, ratio=REPEATED).select(*docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import audio, bpe, components, importance, jaccard, lines, packing, queries, rules, shingles, toxicity, urls, warc
+from tessella.llm import audio, bpe, components, importance, jaccard, lines, packing, queries, rules, shingles, stages, toxicity, urls, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 ODD = [None, "", "   \n\t ", "one", "The Quick brown fox's 123 don't", "é É ñ Ñandú ß", "日本語 テキスト", "İstanbul ΑΣ Σ", "a\x1cb\x85c d　e", "<|endoftext|> x<|startoftext|>y", "café ẛ̣", "²³ ½ x²", "w" * 500 + " " + "ab" * 300, "🙂🙂 ok 🙂", "﻿x ​ y", "'S 'LL 'Ve d'accord"]
@@ -242,6 +242,14 @@ def test_line_dedup(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_line_stage_drops_what_many_pages_repeat(spark):
+    rows = [(i, f"own {i % 700}\nshort {i % 400}" + "\nlicense" * (i % 100 == 0) + "\nfew" * (i < 4), "h") for i in range(1000)]
+    rows += [(2000 + i, f"own {i}\nlicense", "small") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in stages.dedup_lines(spark, df, "").collect()}
+    assert {i: x.replace("\nlicense", "") if i < 2000 else x for i, x, _ in rows} == got
+
+
 def test_url_list_is_as_of(spark):
     entries = spark.createDataFrame([("bad.com", "add", 10), ("bad.com", "remove", 20), ("x.bad.com", "add", 15), ("tie.com", "add", 5), ("tie.com", "remove", 5), (None, "add", 1)], "domain string, action string, at int")
     caps = spark.createDataFrame([(1, "http://www.bad.com/a", 9), (2, "http://u@BAD.com:80/a", 10), (3, "http://bad.com", 20), (4, "https://x.bad.com./", 30), (5, "http://notbad.com", 15), (6, None, 15), (7, "http://tie.com", 6), (8, "http://bad.com", None), (2, "http://u@BAD.com:80/a", 10)], "page_id int, url string, fetched_at int")
