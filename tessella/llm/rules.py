@@ -72,10 +72,15 @@ def rules() -> dict[str, Column]:
     Most rules know one kind of junk and abstain on everything else; three also know a sign of good text.
     """
     c, n, never = F.col, F.col("n_words"), F.lit(False)
+
+    def distinct(share: int) -> Column:
+        """At least so many distinct words in a hundred; beyond 2,000 words they need only grow as the root of the length."""
+        return F.when(n <= 2000, 100 * c("n_distinct") >= share * n).otherwise(10_000 * c("n_distinct") * c("n_distinct") >= 2000 * share * share * n)
+
     return {
         "length": _vote(n >= 100, n < 50),
         "word_length": _vote((c("word_chars") >= 3 * n) & (c("word_chars") <= 8 * n), (2 * c("word_chars") < 5 * n) | (c("word_chars") > 14 * n)),
-        "distinct": _vote(100 * c("n_distinct") >= 40 * n, (100 * c("n_distinct") < 20 * n) & (n <= 2000)),
+        "distinct": _vote(distinct(40), ~distinct(20)),
         "symbols": _vote(never, 100 * c("n_symbols") > 8 * c("word_chars")),
         "dup_lines": _vote(never, 100 * c("n_dup_lines") > 30 * c("n_lines")),
         "repeats": _vote(never, 100 * c("n_repeat_words") > 35 * n),
@@ -107,7 +112,7 @@ class Accuracies:
         """Log odds of good quality that a bad vote, no vote and a good vote add. A vote never argues against itself."""
         out = []
         for (bg, bb), (gg, gb) in zip(self.bad_votes, self.good_votes, strict=True):
-            none = math.log(max(1e-6, 1 - bg - gg) / max(1e-6, 1 - bb - gb))
+            none = math.log((1 - bg - gg) / (1 - bb - gb))
             out.append((min(0.0, math.log(bg / bb)), none, max(0.0, math.log(gg / gb))))
         return out
 
@@ -123,15 +128,20 @@ def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
 
     Rules are written to be precise, and each knows one kind of junk only, so
     the kinds are held together by two bounds: on good documents a rule votes
-    bad at most ``false_alarm`` of the time, and good votes are at most
-    ``lift`` times as usual there as on bad ones. The start, which counts as
-    ``weight`` times the rows (the prior ten times as much), is within them.
+    bad at most ``false_alarm`` of the time, and where it doesn't, good votes
+    and abstentions are each at most ``lift`` times as usual on one kind as on
+    the other. The start, which counts as ``weight`` times the rows (the prior
+    ten times as much), is within them. A rule's three outcomes are one
+    distribution: good votes and abstentions divide what the bad votes leave,
+    and one of either is added to what is counted.
     """
     total = sum(n for _, n in patterns)
     pseudo = max(1.0, weight * total)
     usual = [(sum(n for v, n in patterns if v[j] == 1) + 1) / (total + 2) for j in range(len(names))]
-    start_bad, start_good = (false_alarm, 0.4), [(u, u / lift) for u in usual]
-    model = Accuracies(prior, tuple(names), (start_bad,) * len(names), tuple(start_good))
+    within = lambda x, a: min(1 - (1 - a) / lift, max(a / lift, 1 - lift * (1 - a), x))
+    start_bad, start_good = (false_alarm, 0.4), [(u, within(u / lift, u)) for u in usual]  # good votes: among those that aren't bad
+    rest = lambda bad, good: tuple((1 - b) * g for b, g in zip(bad, good, strict=True))
+    model = Accuracies(prior, tuple(names), (start_bad,) * len(names), tuple(rest(start_bad, g) for g in start_good))
     for _ in range(rounds if total else 0):
         weights, base = model.weights(), math.log(model.prior / (1 - model.prior))
         mass, sums = [0.0, 0.0], [[0.0] * 4 for _ in names]
@@ -146,11 +156,13 @@ def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
                     sums[j][k] += q * n
                     sums[j][k + 1] += (1 - q) * n
         share = lambda x, of, start: min(0.999, max(1e-4, (x + start * pseudo) / (of + pseudo)))
+        bads = [(min(false_alarm, share(s[0], mass[0], start_bad[0])), share(s[1], mass[1], start_bad[1])) for s in sums]
+        goods = [(a := share(s[2], mass[0] - s[0], g[0]), within(share(s[3], mass[1] - s[1], g[1]), a)) for s, g in zip(sums, start_good, strict=True)]
         model = Accuracies(
             min(0.995, max(0.5, (mass[0] + 10 * prior * pseudo) / (total + 10 * pseudo))),
             tuple(names),
-            tuple((min(false_alarm, share(s[0], mass[0], start_bad[0])), share(s[1], mass[1], start_bad[1])) for s in sums),
-            tuple((a := share(s[2], mass[0], g[0]), max(a / lift, share(s[3], mass[1], g[1]))) for s, g in zip(sums, start_good, strict=True)),
+            tuple(bads),
+            tuple(rest(b, g) for b, g in zip(bads, goods, strict=True)),
         )
     return model
 

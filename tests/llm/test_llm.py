@@ -116,6 +116,20 @@ def test_estimation_is_monotone():
     assert rules.maximise([], ["a"]).prior == 0.85
 
 
+def test_outcomes_of_a_rule_are_one_distribution():
+    model = rules.maximise([((1, 0), 9000), ((0, -1), 300), ((1, -1), 300), ((-1, 0), 200), ((0, 0), 200)], ["a", "b"])
+    for (bg, bb), (gg, gb) in zip(model.bad_votes, model.good_votes, strict=True):
+        assert 0 < bg + gg < 1 and 0 < bb + gb < 1
+    (_, none, _), (bad, _, _) = model.weights()
+    assert abs(none) < 1 and np.log(model.prior / (1 - model.prior)) + none + bad < 0
+
+
+def test_long_texts_need_distinct_words(spark):
+    values = [" ".join(f"w{i % d}" for i in range(3000)) for d in (20, 700, 1100)]
+    voted = rules.with_votes(rules.with_counts(texts(spark, values))).orderBy("doc_id").collect()
+    assert [r["__rule_distinct"] for r in voted] == [-1, 0, 1]
+
+
 def test_audio_is_lossless_and_deterministic(spark):
     values = [b"", None, b"a", bytes(range(256)) * 40, bytes(range(256)) * 40, b"\x00" * 64 + b"\xff" * 4000]
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(values)], "doc_id long, payload binary, media int")
