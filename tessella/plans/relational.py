@@ -204,6 +204,35 @@ def q_set_xor(spark, d):
     return sets.setxor(*_ids(spark, d))
 
 
+PRICES, LINE_PRICES = "SELECT o_totalprice AS v FROM orders", "SELECT l_extendedprice AS v FROM lineitem"
+
+
+def _prices(spark, d):
+    """Two whole columns that overlap in part."""
+    return table(spark, d, "orders").select(F.col("o_totalprice").alias("v")), table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("v"))
+
+
+@query(f"{PRICES} UNION {LINE_PRICES}")
+def q_set_union_whole(spark, d):
+    return sets.union(*_prices(spark, d))
+
+
+@query(f"{PRICES} INTERSECT {LINE_PRICES}")
+def q_set_intersect_whole(spark, d):
+    return sets.intersect(*_prices(spark, d))
+
+
+@query(f"{LINE_PRICES} EXCEPT {PRICES}")
+def q_set_diff_whole(spark, d):
+    a, b = _prices(spark, d)
+    return sets.setdiff(b, a)
+
+
+@query(f"({PRICES} EXCEPT {LINE_PRICES}) UNION ({LINE_PRICES} EXCEPT {PRICES})")
+def q_set_xor_whole(spark, d):
+    return sets.setxor(*_prices(spark, d))
+
+
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def q_set_intersect_2col(spark, d):
     df = table(spark, d, "lineitem")
