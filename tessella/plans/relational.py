@@ -114,6 +114,36 @@ def q_merge_outer(spark, d):
     return joins.merge(*_sides(spark, d), on="key", how="outer")
 
 
+def _whole_sides(spark, d):
+    """Whole tables; some events have no lines, some lines no event."""
+    left = table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("n"), "value")
+    right = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("price"))
+    return left, right
+
+
+WHOLE_SIDES = "WITH l AS (SELECT event_id AS key, user_id AS n, value FROM events), r AS (SELECT l_orderkey AS key, l_linenumber AS n, l_extendedprice AS price FROM lineitem) "
+
+
+@query(WHOLE_SIDES + "SELECT key, l.n AS n_x, value, r.n AS n_y, price FROM l JOIN r USING (key)")
+def q_merge_inner_whole(spark, d):
+    return joins.merge(*_whole_sides(spark, d), on="key")
+
+
+@query(WHOLE_SIDES + "SELECT key, l.n AS n_x, value, CAST(r.n AS DOUBLE) AS n_y, price FROM l LEFT JOIN r USING (key)")
+def q_merge_left_whole(spark, d):
+    return joins.merge(*_whole_sides(spark, d), on="key", how="left")
+
+
+@query(WHOLE_SIDES + "SELECT key, CAST(l.n AS DOUBLE) AS n_x, value, r.n AS n_y, price FROM l RIGHT JOIN r USING (key)")
+def q_merge_right_whole(spark, d):
+    return joins.merge(*_whole_sides(spark, d), on="key", how="right")
+
+
+@query(WHOLE_SIDES + "SELECT key, CAST(l.n AS DOUBLE) AS n_x, value, CAST(r.n AS DOUBLE) AS n_y, price FROM l FULL JOIN r USING (key)")
+def q_merge_outer_whole(spark, d):
+    return joins.merge(*_whole_sides(spark, d), on="key", how="outer")
+
+
 @query("SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def q_semi(spark, d):
     big = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))

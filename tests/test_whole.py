@@ -17,3 +17,10 @@ def test_sets_of_whole_columns(spark, sf_dir):
     for name, want in (("union", a | b), ("intersect", a & b), ("diff", b - a), ("xor", a ^ b)):
         got = [r.v for r in run(spark, sf_dir, f"q_set_{name}_whole")]
         assert want and len(got) == len(want) and set(got) == want
+
+
+def test_merges_of_whole_tables(spark, sf_dir):
+    a, b = set(column(spark, sf_dir, "events", "event_id")), set(column(spark, sf_dir, "lineitem", "l_orderkey"))
+    assert a & b and a - b and b - a
+    for how, want in (("inner", a & b), ("left", a), ("right", b), ("outer", a | b)):
+        assert {r.key for r in run(spark, sf_dir, f"q_merge_{how}_whole")} == want
