@@ -81,6 +81,12 @@ def q_matmul_tril(spark, d):
     return linalg.tril(linalg.matmul(linalg.transpose(m), m)).select("i", "j", F.round("v", 4).alias("v"))
 
 
+@query(E + "SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(a.v * b.v), 4) AS v FROM e a JOIN e b USING (i) WHERE b.j <= a.j GROUP BY 1, 2")
+def q_matmul_tril_whole(spark, d):
+    m = linalg.from_rows(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return linalg.tril(linalg.matmul(linalg.transpose(m), m)).select("i", "j", F.round("v", 4).alias("v"))
+
+
 @query("SELECT CAST(l_suppkey AS BIGINT) AS i, CAST(sum(c) OVER (ORDER BY l_suppkey) - c AS BIGINT) AS start, CAST(c AS BIGINT) AS n FROM (SELECT l_suppkey, count(DISTINCT l_partkey % 50) AS c FROM lineitem GROUP BY 1)")
 def q_sparse_csr(spark, d):
     m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 50).alias("j"), F.lit(1.0).alias("v")).groupBy("i", "j").agg(F.sum("v").alias("v"))

@@ -24,3 +24,9 @@ def test_merges_of_whole_tables(spark, sf_dir):
     assert a & b and a - b and b - a
     for how, want in (("inner", a & b), ("left", a), ("right", b), ("outer", a | b)):
         assert {r.key for r in run(spark, sf_dir, f"q_merge_{how}_whole")} == want
+
+
+def test_product_of_whole_matrices(spark, sf_dir):
+    width = len(column(spark, sf_dir, "embeddings", "embedding")[0])
+    got = [(r.i, r.j) for r in run(spark, sf_dir, "q_matmul_tril_whole")]
+    assert sorted(got) == [(i, j) for i in range(width) for j in range(i + 1)]
