@@ -197,6 +197,13 @@ def q_lookup(spark, d):
     return joins.lookup(table(spark, d, "customer").select("c_custkey", "c_nationkey"), keys, ["c_nationkey"], "region", F.lit(-1).cast("long")).select("c_custkey", "region")
 
 
+@query("SELECT doc_id, coalesce(CAST(quality AS BIGINT), -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def q_lookup_whole(spark, d):
+    """Labels cover some of the documents."""
+    keys = table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"))
+    return joins.lookup(table(spark, d, "documents").select("doc_id"), keys, ["doc_id"], "quality", F.lit(-1).cast("long")).select("doc_id", "quality")
+
+
 @query("SELECT o_orderkey, o_totalprice, coalesce((SELECT CAST(min(i) AS BIGINT) FROM range(0, 20) r(i) WHERE o_totalprice BETWEEN i * 25000.0 AND i * 25000.0 + 15000), -1) AS bin FROM orders")
 def q_interval_lookup(spark, d):
     bins = spark.range(20).select(F.col("id").alias("bin"), (F.col("id") * 25000.0).alias("low"), (F.col("id") * 25000.0 + 15000).alias("high"))
@@ -340,6 +347,14 @@ def q_gather(spark, d):
     return position.gather(df, asked).select(F.col("n").alias("index"), "o_orderkey", "o_totalprice")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS index, o_orderkey, o_totalprice FROM orders")
+def q_gather_whole(spark, d):
+    """The whole table in the order of another column."""
+    df = position.with_position(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    asked = position.argsort(df, ["o_totalprice"]).select(F.col("rank").alias("n"), F.col("pos").alias("index"))
+    return position.gather(df, asked).select(F.col("n").alias("index"), "o_orderkey", "o_totalprice")
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= 100 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders")
 def q_scatter(spark, d):
     df = position.with_position(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])

@@ -30,3 +30,12 @@ def test_product_of_whole_matrices(spark, sf_dir):
     width = len(column(spark, sf_dir, "embeddings", "embedding")[0])
     got = [(r.i, r.j) for r in run(spark, sf_dir, "q_matmul_tril_whole")]
     assert sorted(got) == [(i, j) for i in range(width) for j in range(i + 1)]
+
+
+def test_gather_and_lookup_reach_every_row(spark, sf_dir):
+    orders = column(spark, sf_dir, "orders", "o_orderkey")
+    got = run(spark, sf_dir, "q_gather_whole")
+    assert sorted(r["index"] for r in got) == list(range(len(orders))) and {r.o_orderkey for r in got} == set(orders)
+    found = {r.doc_id: r.quality for r in run(spark, sf_dir, "q_lookup_whole")}
+    labels = set(column(spark, sf_dir, "labels", "doc_id"))
+    assert set(found) == set(column(spark, sf_dir, "documents", "doc_id")) and {k for k, v in found.items() if v >= 0} == labels != set(found)
