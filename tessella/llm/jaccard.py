@@ -463,6 +463,11 @@ def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> Dat
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key reachable by links, for every row."""
+    return _classes(docs, key, text, k, num).drop("sid")
+
+
+def _classes(docs: DataFrame, key: str, text: str, k: int, num: int) -> DataFrame:
+    """``classes`` with the fingerprint of the set, null where it is empty."""
     docs = docs.select(key, text)
     profile, counts, shingles = profiles(docs, key, text, k)
     pairs, large = candidates(buckets(docs, text, k, num, counts, shingles))
@@ -472,18 +477,38 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     groups = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     whole = groups.groupBy("label").agg(F.min("least").alias("component_id"))
     groups = groups.join(whole, "label").select("sid", "component_id")
-    return profile.join(groups, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+    return profile.join(groups, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), "sid")
+
+
+def _with_fingerprints(docs: DataFrame, text: str, k: int) -> DataFrame:
+    """``docs`` with ``__sid``, the fingerprint of a row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
+        for batch in batches:
+            sets = map(shingler.of, batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "__sid"])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sid", BinaryType())]))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
     """One row of every component, that of the smallest key, with all columns. Rows with a null key stay as they are.
 
-    Rows that share key and text count once; texts are moved once, by key.
+    Rows that share key and text count once; texts are moved once, by key. Where
+    a key stands on texts of several components, rows go by key and fingerprint.
     """
-    done = written(classes(docs, key, text, k, num), "classes")
-    gone = done.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    left = docs.join(gone, key, "left_anti").select(*[f"`{x}`" for x in docs.columns])
+    names = [f"`{x}`" for x in docs.columns]
+    done = written(_classes(docs, key, text, k, num), "classes")
+    away = done.where(F.col(key) != F.col("component_id"))
+    gone = away.select(key).distinct()
+    left = docs.join(gone, key, "left_anti").select(*names)
     if done.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
         return left
+    mixed = gone.join(done.where(F.col(key) == F.col("component_id")), key, "left_semi")
+    if not mixed.isEmpty():
+        told = _with_fingerprints(docs.join(mixed, key, "left_semi").select(*names), text, k)
+        left = left.unionByName(told.join(away.select(key, F.col("sid").alias("__sid")).distinct(), [key, "__sid"], "left_anti").select(*names))
     named = left.where(F.col(key).isNotNull()).withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicates([key, "__h"]).drop("__h")
     return named.unionByName(left.where(F.col(key).isNull()))

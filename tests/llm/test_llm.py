@@ -248,6 +248,13 @@ def test_representatives_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in jaccard.representatives(twice).collect()) == [0, 2, 3, 4]
 
 
+def test_representatives_tell_rows_of_one_id_apart(spark):
+    same, other = " ".join(WORDS), "a text without any near copy at all"
+    rows = [(0, same), (1, same), (1, other), (1, None), (2, same), (None, same)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    assert Counter((r.doc_id, r.text) for r in jaccard.representatives(df).collect()) == Counter([(0, same), (1, other), (1, None), (None, same)])
+
+
 def test_line_dedup(spark):
     rows = [(i, f"own {i}\nfooter\n\n", "h") for i in range(20)] + [(100 + i, f"footer\nown {i}", "other") for i in range(3)] + [(200, None, "h"), (201, "footer", None)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_lines int")
