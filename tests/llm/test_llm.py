@@ -322,6 +322,13 @@ def test_toxicity_edges(spark):
     assert all(r.score < 1e-9 for r in toxicity.score(df, none).collect())
 
 
+def test_toxicity_trains_on_labels_that_have_texts(spark):
+    df = texts(spark, ["you moron", "fine words"] * 20)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)] + [(i, 0) for i in range(1000, 3000)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, labels, max_rows=40)).collect()}
+    assert got[0] > 0.5 > got[1]
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
