@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,7 +44,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where tables of ``written`` lie. What is derived from one by ``drop`` of a column or a filter isn't listed.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def narrowed(df: DataFrame, *names: str) -> DataFrame:
+    """Some columns of a table of ``written``; ``drop`` of the result deletes the table."""
+    out = df.select(*names)
+    if df in _paths:
+        _paths[out] = _paths[df]
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that are read no more; other frames are left alone."""
+    for df in tables:
+        if (path := _paths.pop(df, None)) is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _shipped: set[str] = set()

@@ -1,7 +1,11 @@
-"""Connected components of an edge table, by alternating large and small stars.
+"""Connected components of an edge table, by hooking and pointer jumping.
 
-Every round is two groupings and two joins of edges; edges never reach the
-driver, only whether the stars are complete.
+Every node hooks onto its least neighbour if that is smaller than itself; the
+trees are flattened by joining labels to the labels of their labels, and the
+edges between different trees go on as edges of their labels. Edges never
+reach the driver, only whether something is left. Nothing is grouped but by
+aggregations that are combined before the shuffle, and the joins on a hot label
+have one row a key on the other side, so that a skewed join is split.
 """
 
 from __future__ import annotations
@@ -9,32 +13,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.base import written
+from tessella.llm.base import drop, narrowed, written
 
+#: Trees halve in depth, and edges lose most of their nodes, in every round.
+ROUNDS = 100
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Connect neighbours to the least neighbour: larger ones (large star) or smaller ones (small star)."""
-    u, v = F.col("u"), F.col("v")
-    around = edges.unionByName(edges.select(v.alias("u"), u.alias("v"))) if large else edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = around.join(least, "u")
-    if large:
-        return met.where(v > u).select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    return met.select(v.alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
+def roots(parents: DataFrame) -> DataFrame:
+    """The written table (node, label) with every label the root of its tree. parents: (node, label < node), one row a node."""
+    now = written(parents.select("node", "label"), "labels")
+    for _ in range(ROUNDS):
+        above = now.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        after = written(now.join(above, "label", "left").select("node", F.coalesce("higher", "label").alias("label"), F.col("higher").isNotNull().alias("moved")), "labels")
+        drop(now)
+        now = after
+        if now.where("moved").isEmpty():
+            return narrowed(now, "node", "label")
+    raise RuntimeError("trees did not flatten")
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, label) for every node with an edge; label is the least node reachable. Null ends and loops are ignored."""
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
-    for _ in range(rounds):
+
+def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The distinct edges (a < b) between different labels; nodes without a label are their own."""
+    left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    ends = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    return ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def composed(labels: DataFrame, higher: DataFrame) -> DataFrame:
+    """Labels of labels: (node, label) of both, each node with its last label."""
+    above = higher.select(F.col("node").alias("label"), F.col("label").alias("__over"))
+    return labels.join(above, "label", "left").select("node", F.coalesce("__over", "label").alias("label")).unionByName(higher.select("node", "label"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label) for every node but the least of its component, which is the label. Null ends and loops are ignored."""
+    ends = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("whole"))
+    now = written(ends.where("whole and a <> b").select("a", "b").distinct(), "edges")
+    labels = None
+    for _ in range(ROUNDS):
         if now.isEmpty():
-            break
-        now = written(_star(_star(now, True), False), "edges")
-        # Done when every node but the least of its component hangs on one node that hangs on none.
-        several = now.groupBy("u").count().where("count > 1").select("u")
-        middle = now.select("v").join(now.select(F.col("u").alias("v")), "v", "left_semi")
-        if several.unionByName(middle.withColumnRenamed("v", "u")).isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+            return labels if labels is not None else now.select(F.col("b").alias("node"), F.col("a").alias("label"))
+        hooked = roots(now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+        after = written(relabelled(now, hooked), "edges")
+        drop(now)
+        now = after
+        if labels is None:
+            labels = hooked
+        else:
+            both = written(composed(labels, hooked), "labels")
+            drop(labels, hooked)
+            labels = both
+    raise RuntimeError("components did not settle")

@@ -24,13 +24,17 @@ parts sure to be equal, less those not emitted. That number (``need``) goes
 with every set, so pairs that meet by chance in a few signatures fall out
 before anything is compared; this loses no link.
 
-Shuffle and skew: equal sets are one node (copies are never compared). Each
-task sorts its signatures and sends compressed runs per range of signatures,
-where pairs of small buckets (up to ``SMALL`` members) are counted. Members of
-large buckets are never expanded into pairs: they go on as rows and are
-compared with one hub a round, verified links are contracted to components,
-and only buckets whose members still lie in several components stay; what is
-left after ``STAR_ROUNDS`` is compared across components. A signature very
+Shuffle and skew: equal sets are one node (copies are never compared), named
+by 64 bits of their fingerprint that are made unique over the table. Each task
+sorts its signatures and sends compressed runs per range of signatures, where
+pairs of small buckets (up to ``SMALL`` members) are counted. Members of large
+buckets are never expanded into pairs: they go on as rows and meet ``HUBS``
+hubs of their bucket. Of the pairs that sizes and sketches let through, every
+node first tests its least neighbour only; what lies in one component then
+needs no more tests, and the other pairs are tested once. Large buckets whose
+members still lie in several components are compared across these; members of
+a bucket's most frequent component meet those of others only, so a bucket of
+copies of one text and few others costs what the others do. A signature very
 frequent within a task's chunk is sent once, its members as rows dealt out by
 member, so no range gathers a hot one. Verification is exact, on the whole
 sets, after the size bound and a parity sketch of 1,024 bits, whose distance
@@ -55,10 +59,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessella.llm.base import map_batches, small_batches, written
-from tessella.llm.components import components
+from tessella.llm.base import drop, map_batches, small_batches, written
+from tessella.llm.components import components, composed, roots
 from tessella.llm.shingles import Shingler, fingerprint, mix
 
 #: Counters of the shingle histogram (2**COUNTER_BITS), sent in slices; each task's counts stop at 255.
@@ -68,8 +72,14 @@ COUNTERS = 1 << COUNTER_BITS
 BAND = 1.5
 #: Signatures of a task's chunk, and about as many a range.
 CHUNK_ROWS, RANGE_ROWS = 1_500_000, 1_500_000
+#: Ranges besides, so that small inputs are spread too.
+LEAST_RANGES = 16
 SKETCH_WORDS = 16
-STAR_ROUNDS = 3
+SKETCH = tuple(f"s{i}_" for i in range(SKETCH_WORDS))
+#: Members of a large bucket that all its members are compared with.
+HUBS = 2
+#: The bitmap of wanted keys has so many bits a key, and 2**27 at most; it only spares work.
+KEY_BITS, MOST_BITS = 16, 27
 #: Members of a bucket whose pairs are counted at once; members within a chunk from which a signature counts as hot.
 SMALL, HOT = 48, 64
 #: Parts beyond the largest difference, as a share of it: they make shared signatures many, and informative.
@@ -186,88 +196,104 @@ def step(shingles: int) -> int:
     return max(1, shingles // COUNTERS // 32)
 
 
-def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np.ndarray, int]:
-    """The written table (key, n, sid) of all rows, the corpus counts in ``step``s up to 255, and the number of shingles. One pass over the texts."""
+def words(ids: list[bytes]) -> np.ndarray:
+    """Fingerprints of 16 bytes as rows of two 64-bit words."""
+    return np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
+
+
+def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np.ndarray, int, frozenset[int]]:
+    """One pass over the texts: the written table (key, n, nid) of all rows, the corpus counts in ``step``s up to 255, the number of shingles, and the clashing words.
+
+    nid names the set: the first word of its fingerprint, or the second where
+    several sets have the first in common (about n * n / 2**65 of n sets).
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, keys = Shingler(k), np.zeros(COUNTERS, np.int32), pa.int64()
+        shingler, counts = Shingler(k), np.zeros(COUNTERS, np.int32)
         schema = None
         for batch in batches:
-            schema = schema or pa.schema([(key, batch.schema.field(key).type), ("n", pa.int64()), ("sid", pa.binary()), ("slice", pa.int32())])
-            n, sid = [], []
+            schema = schema or pa.schema([(key, batch.schema.field(key).type), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("slice", pa.int32()), ("part", pa.binary())])
+            n, ids = [], []
             for value in batch.column(text).to_pylist():
                 s = shingler.of(value)
                 np.add.at(counts, counter(s), 1)
                 n.append(len(s))
-                sid.append(fingerprint(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.nulls(len(n), pa.int32())], schema=schema)
+                ids.append(fingerprint(s) if len(s) else bytes(16))
+            empty = np.array(n) == 0
+            both = words(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(both[:, 0], mask=empty), pa.array(both[:, 1], mask=empty), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=schema)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(np.minimum(counts, 255).astype(np.uint8), SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, schema.field(0).type), pa.nulls(SLICES, keys), pa.array(parts, pa.binary()), pa.array(range(SLICES), pa.int32())], schema=schema)
+            longs = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, schema.field(0).type), longs, longs, longs, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     def total(part: pa.Table) -> pa.Table:
         sums = np.zeros(COUNTERS // SLICES, np.int64)
-        for x in part.column("sid").to_pylist():
+        for x in part.column("part").to_pylist():
             sums += np.frombuffer(zlib.decompress(x), np.uint8)
         graded = np.minimum(sums // step(shingles), 255).astype(np.uint8)
         return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([graded.tobytes()], pa.binary())})
 
-    both = written(docs.select(key, text).mapInArrow(run, StructType([kind, StructField("n", LongType()), StructField("sid", BinaryType()), *StructType.fromDDL("slice int").fields])), "profiles")
-    shingles = int(both.where("slice is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    longs = [StructField(x, LongType()) for x in ("n", "hi", "lo")]
+    both = written(docs.select(key, text).mapInArrow(run, StructType([kind, *longs, *StructType.fromDDL("slice int, part binary").fields])), "profiles")
+    rows = both.where("slice is null")
+    shingles = int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     counts = np.zeros(COUNTERS, np.uint8)
     size = COUNTERS // SLICES
-    for r in both.where("slice is not null").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():
+    for r in both.where("slice is not null").select("slice", "part").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():
         counts[r.slice * size : (r.slice + 1) * size] = np.frombuffer(bytes(r.counts), np.uint8)
-    return both.where("slice is null").drop("slice"), counts, shingles
+    named = rows.where("n > 0")
+    clashes = frozenset(r.hi for r in named.groupBy("hi").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("hi").collect())
+    nid = F.when(F.col("hi").isin(sorted(clashes)), F.col("lo")).otherwise(F.col("hi")) if clashes else F.col("hi")
+    if clashes and not named.groupBy(nid.alias("nid")).agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.min("lo").alias("c"), F.max("lo").alias("d")).where("a <> b or c <> d").isEmpty():
+        raise RuntimeError("different sets with equal names")
+    return rows.select(key, "n", nid.alias("nid")), counts, shingles, clashes
+
 
+def name(print16: bytes, clashes: frozenset[int]) -> int:
+    """The nid of the set with this fingerprint."""
+    hi, lo = words([print16])[0].tolist()
+    return lo if hi in clashes else hi
 
-def _pack(sig: np.ndarray, who: np.ndarray, sids: list[bytes], needs: np.ndarray) -> bytes:
-    """Signatures (ascending) as differences, and members as indexes into the ids present, which come with their needs."""
+
+def _pack(sig: np.ndarray, who: np.ndarray, nids: np.ndarray, needs: np.ndarray) -> bytes:
+    """Signatures (ascending) as differences, and members as indexes into the nids present, which come with their needs."""
     used, index = np.unique(who, return_inverse=True)
     body = np.diff(sig, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(sig).to_bytes(8, "little") + len(used).to_bytes(8, "little") + b"".join(sids[i] for i in used) + needs[used].astype("<u2").tobytes() + zlib.compress(body, 1)
+    return len(sig).to_bytes(8, "little") + len(used).to_bytes(8, "little") + nids[used].astype("<i8").tobytes() + needs[used].tobytes() + zlib.compress(body, 1)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, index of the member, ids as pairs of words, needs)."""
+    """(signatures, index of the member, nids, needs)."""
     n, m = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
-    ids = np.frombuffer(blob, "<u8", 2 * m, 16).reshape(m, 2)
-    needs = np.frombuffer(blob, "<u2", m, 16 + 16 * m)
-    body = np.frombuffer(zlib.decompress(blob[16 + 18 * m :]), np.uint8)
+    nids = np.frombuffer(blob, "<i8", m, 16)
+    needs = np.frombuffer(blob, np.uint8, m, 16 + 8 * m)
+    body = np.frombuffer(zlib.decompress(blob[16 + 9 * m :]), np.uint8)
     steps = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view("<u8").ravel()
     index = np.ascontiguousarray(body[8 * n : 12 * n].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(steps, dtype=np.uint64), index.astype(np.int64), ids, needs
-
-
-def _binary(words: np.ndarray) -> pa.Array:
-    """Rows of two 64-bit words as 16-byte values."""
-    flat = np.ascontiguousarray(words.astype("<u8"))
-    return pa.Array.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+    return np.cumsum(steps, dtype=np.uint64), index.astype(np.int64), nids, needs
 
 
-_SENT = pa.schema([("range", pa.int32()), ("blob", pa.binary()), ("bid", pa.int64()), ("sid", pa.binary())])
-_MET = pa.schema([("bid", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("shared", pa.int64()), ("need", pa.int64())])
+_SENT = pa.schema([("range", pa.int32()), ("blob", pa.binary()), ("bid", pa.int64()), ("nid", pa.int64())])
+_MET = pa.schema([("bid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("need", pa.int64())])
 
 
-def buckets(docs: DataFrame, text: str, k: int, num: int, counts: np.ndarray, shingles: int) -> DataFrame:
+def buckets(docs: DataFrame, text: str, k: int, num: int, counts: np.ndarray, shingles: int, clashes: frozenset[int]) -> DataFrame:
     """The written table of what met: counted pairs (a, b, shared, need) of small buckets, and members (bid, a) of large ones. A second pass over the texts."""
-    spark = docs.sparkSession
-    ranges = int(max(1, min(1 << 20, 0.8 * shingles // RANGE_ROWS + 1)))
-    shipped, limit = spark.sparkContext.broadcast(counts), max(20, 3 * shingles // COUNTERS) // step(shingles)
+    ranges = LEAST_RANGES + int(0.8 * shingles // RANGE_ROWS)
+    shipped, limit = docs.sparkSession.sparkContext.broadcast(counts), max(20, 3 * shingles // COUNTERS) // step(shingles)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(k), shipped.value
-        seen: set[bytes] = set()
-        sids: list[bytes] = []
-        held: list[np.ndarray] = []
-        needs: list[int] = []
+        held: dict[int, tuple[np.ndarray, int]] = {}
         rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            sig = np.concatenate(held)
-            who = np.repeat(np.arange(len(sids)), [len(x) for x in held])
+            nids, needs = np.array(list(held), np.int64), np.array([min(need, 255) for _, need in held.values()], np.uint8)  # a smaller need lets more through
+            sig = np.concatenate([own for own, _ in held.values()])
+            who = np.repeat(np.arange(len(nids)), [len(own) for own, _ in held.values()])
             order = np.argsort(sig, kind="stable")
             sig, who = sig[order], who[order]
             at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -276,35 +302,25 @@ def buckets(docs: DataFrame, text: str, k: int, num: int, counts: np.ndarray, sh
             extra = np.arange(len(sig)) - np.repeat(at, size) >= HOT
             stay = np.flatnonzero(~extra)
             place = (sig[stay] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            cuts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
-            r, blobs, need = [], [], np.array(needs)
-            for i in range(ranges):
-                mine = stay[cuts[i] : cuts[i + 1]]
-                if len(mine):
-                    r.append(i)
-                    blobs.append(_pack(sig[mine], who[mine], sids, need))
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.binary())], schema=_SENT)
+            r, starts = np.unique(place, return_index=True)
+            for i, mine in zip(r.tolist(), np.split(stay, starts[1:]), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_pack(sig[mine], who[mine], nids, needs)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=_SENT)
             if extra.any():
                 more = np.flatnonzero(extra)
-                table = np.frombuffer(b"".join(sids), "<u8").reshape(-1, 2)
                 for mine in np.array_split(more, -(-len(more) // 100_000)):
-                    to = (table[who[mine], 0] % np.uint64(ranges)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(mine), pa.binary()), pa.array(sig[mine].view(np.int64)), _binary(table[who[mine]])], schema=_SENT)
+                    who_else = nids[who[mine]]
+                    yield pa.RecordBatch.from_arrays([pa.array((who_else % ranges).astype(np.int32)), pa.nulls(len(mine), pa.binary()), pa.array(sig[mine].view(np.int64)), pa.array(who_else)], schema=_SENT)
 
         for batch in batches:
             for value in batch.column(text).to_pylist():
                 s = shingler.of(value)
-                if not len(s) or (sid := fingerprint(s)) in seen:
+                if not len(s) or (nid := name(fingerprint(s), clashes)) in held:
                     continue
-                seen.add(sid)
-                sids.append(sid)
-                own, need = signatures(s, known, limit, num)
-                held.append(own)
-                needs.append(need)
+                held[nid] = own, _ = signatures(s, known, limit, num)
                 rows += len(own)
                 if rows >= CHUNK_ROWS:
                     yield from out()
-                    sids.clear(), held.clear(), needs.clear(), seen.clear()
+                    held.clear()
                     rows = 0
         if rows:
             yield from out()
@@ -312,20 +328,21 @@ def buckets(docs: DataFrame, text: str, k: int, num: int, counts: np.ndarray, sh
     def meet(part: pa.Table) -> pa.Table:
         loose = part.filter(part.column("bid").is_valid())
         n = len(loose)
-        tables = [pa.table([loose.column("bid").combine_chunks(), loose.column("sid").combine_chunks(), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_MET)] if n else []
+        longs = lambda n: pa.nulls(n, pa.int64())
+        tables = [pa.table([loose.column("bid").combine_chunks(), loose.column("nid").combine_chunks(), longs(n), longs(n), longs(n)], schema=_MET)] if n else []
         blobs = [x for x in part.column("blob").to_pylist() if x is not None]
         if blobs:
-            sig, who, ids, needs, at = [], [], [], [], 0
+            sig, who, nids, needs, at = [], [], [], [], 0
             for x in map(_unpack, blobs):
                 sig.append(x[0])
                 who.append(x[1] + at)
-                ids.append(x[2])
+                nids.append(x[2])
                 needs.append(x[3])
                 at += len(x[2])
-            sig, who, ids, needs = (np.concatenate(x) for x in (sig, who, ids, needs))
+            sig, who, nids, needs = (np.concatenate(x) for x in (sig, who, nids, needs))
             del blobs
-            _, first, code = np.unique(ids[:, 0] ^ mix(ids[:, 1]), return_index=True, return_inverse=True)  # one number a set, whatever the chunk
-            who, ids, needs = code[who], ids[first], needs[first].astype(np.int64)
+            nids, first, code = np.unique(nids, return_index=True, return_inverse=True)  # ascending
+            who, needs = code[who], needs[first].astype(np.int64)
             order = np.lexsort((who, sig))
             sig, who = sig[order], who[order]
             # Runs that are HOT long within a chunk have members elsewhere too; they are longer than SMALL.
@@ -337,51 +354,53 @@ def buckets(docs: DataFrame, text: str, k: int, num: int, counts: np.ndarray, sh
             for m in np.unique(size[(size > 1) & (size <= SMALL)]):
                 starts, (i, j) = at[size == m], np.triu_indices(m, 1)
                 for some in np.array_split(starts, -(-len(starts) * len(i) // 4_000_000)):
-                    keys.append((who[some[:, None] + i] * len(ids) + who[some[:, None] + j]).ravel())
+                    keys.append((who[some[:, None] + i] * len(nids) + who[some[:, None] + j]).ravel())
             if keys:
                 key, shared = np.unique(np.concatenate(keys), return_counts=True)
-                a, b = key // len(ids), key % len(ids)
-                need = np.maximum(needs[a], needs[b])
-                swap = (ids[a, 0].byteswap() > ids[b, 0].byteswap()) | ((ids[a, 0] == ids[b, 0]) & (ids[a, 1].byteswap() > ids[b, 1].byteswap()))
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                tables.append(pa.table([pa.nulls(len(a), pa.int64()), _binary(ids[a]), _binary(ids[b]), pa.array(shared.astype(np.int64)), pa.array(need)], schema=_MET))
+                a, b = key // len(nids), key % len(nids)
+                tables.append(pa.table([longs(len(a)), pa.array(nids[a]), pa.array(nids[b]), pa.array(shared.astype(np.int64)), pa.array(np.maximum(needs[a], needs[b]))], schema=_MET))
             large = np.flatnonzero(np.repeat(size > SMALL, size))
-            if len(large):
-                n = len(large)
-                tables.append(pa.table([pa.array(sig[large].view(np.int64)), _binary(ids[who[large]]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_MET))
+            if n := len(large):
+                tables.append(pa.table([pa.array(sig[large].view(np.int64)), pa.array(nids[who[large]]), longs(n), longs(n), longs(n)], schema=_MET))
         return pa.concat_tables(tables) if tables else _MET.empty_table()
 
-    sent = docs.select(text).mapInArrow(emit, "range int, blob binary, bid long, sid binary")
-    met = sent.groupBy("range").applyInArrow(meet, "bid long, a binary, b binary, shared long, need long")
-    return written(met, "met")
+    sent = docs.select(text).mapInArrow(emit, "range int, blob binary, bid long, nid long")
+    met = written(sent.groupBy("range").applyInArrow(meet, "bid long, a long, b long, shared long, need long"), "met")
+    shipped.destroy()
+    return met
 
 
 def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b that share enough signatures; members bid, sid of large buckets), both written."""
-    large = written(met.where("bid is not null").select("bid", F.col("a").alias("sid")).distinct(), "large")
+    """(pairs a < b that share enough signatures or have a hub; members bid, nid of large buckets), both written."""
+    large = written(met.where("bid is not null").select("bid", F.col("a").alias("nid")).distinct(), "large")
     pairs = met.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
     if large.isEmpty():
         return written(pairs.where("shared >= need").select("a", "b"), "pairs"), large
     # What two sets may share in large buckets isn't counted; it counts as shared in full.
-    inside = large.groupBy("sid").agg(F.count("*").alias("c"))
-    both = pairs.join(inside.select(F.col("sid").alias("a"), F.col("c").alias("ca")), "a", "left").join(inside.select(F.col("sid").alias("b"), F.col("c").alias("cb")), "b", "left")
-    return written(both.where(F.col("shared") + F.when(F.col("ca").isNull() | F.col("cb").isNull(), 0).otherwise(F.least("ca", "cb")) >= F.col("need")).select("a", "b"), "pairs"), large
+    inside = large.groupBy("nid").agg(F.count("*").alias("c"))
+    both = pairs.join(inside.select(F.col("nid").alias("a"), F.col("c").alias("ca")), "a", "left").join(inside.select(F.col("nid").alias("b"), F.col("c").alias("cb")), "b", "left")
+    enough = both.where(F.col("shared") + F.when(F.col("ca").isNull() | F.col("cb").isNull(), 0).otherwise(F.least("ca", "cb")) >= F.col("need")).select("a", "b")
+    hubs = large.groupBy("bid").agg(*[F.min_by("nid", F.xxhash64("nid", F.lit(r))).alias(f"hub{r}") for r in range(HUBS)])
+    led = large.join(hubs, "bid").select("nid", F.explode(F.array(*[f"hub{r}" for r in range(HUBS)])).alias("hub")).where("nid <> hub")
+    return written(enough.unionByName(led.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b"))).distinct(), "pairs"), large
 
 
-def sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """The written table (sid, n, sketch, shingles) for the sids in ``wanted``. A third pass over the texts, but only their documents are cut into shingles.
+def sets(docs: DataFrame, heads: DataFrame, wanted: DataFrame, key: str, text: str, k: int, clashes: frozenset[int]) -> DataFrame:
+    """The written table (nid, n, sketch in columns, shingles) for the nids in ``wanted``. A third pass over the texts, but only their documents are cut into shingles.
 
-    A bitmap of 2**23 bits says which keys may be wanted; what it lets through besides is dropped by the join.
+    heads: (nid, least key) of all sets. A bitmap of hashed keys, as large as
+    the wanted ones ask for up to a bound, says which documents may be wanted;
+    what it lets through besides is dropped by the join.
     """
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 23))
-    one = profile.where("sid is not null").groupBy("sid").agg(F.min(key).alias(key), F.first(F.lit(1)).alias("x")).drop("x")
-    asked = wanted.join(one, "sid").select("sid", slot.alias("slot"))
-    counted = F.col("slot") + 1  # bucket 1 of the bitmap functions begins at value 1
+    asked = written(wanted.join(heads, "nid").select("nid", F.xxhash64("least").alias("h")), "asked")
+    bits = min(MOST_BITS, max(15, (KEY_BITS * asked.count()).bit_length()))
+    slot = lambda h: F.pmod(h, F.lit(1 << bits))
+    counted = slot(F.col("h")) + 1  # bucket 1 of the bitmap functions begins at value 1
     maps = asked.groupBy(F.bitmap_bucket_number(counted).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(counted)).alias("m")).collect()
-    bits = np.zeros((1 << 23) // 8, np.uint8)
+    seen = np.zeros((1 << bits) // 8, np.uint8)
     for r in maps:
-        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+        seen[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    shipped, names = docs.sparkSession.sparkContext.broadcast(seen), ["nid", "n", *SKETCH, "shingles"]
 
     def make():
         shingler, seen, given = Shingler(k), shipped.value, set()
@@ -389,118 +408,141 @@ def sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, key: str, text:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             places = batch.column("slot").to_numpy()
             fits = seen[places // 8] >> (places % 8) & 1
-            sid, n, odd, own = [], [], [], []
+            nids, n, odd, own = [], [], [], []
             texts = batch.column(text)
             for i in np.flatnonzero(fits):
                 s = shingler.of(texts[int(i)].as_py())
-                if len(s) and (f := fingerprint(s)) not in given:
+                if len(s) and (f := name(fingerprint(s), clashes)) not in given:
                     if len(given) < 200_000:
                         given.add(f)
-                    sid.append(f)
+                    nids.append(f)
                     n.append(len(s))
                     odd.append(sketch(s))
                     own.append(s.view(np.int64))
             longs = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.array(odd, longs), pa.array(own, longs)], ["sid", "n", "sketch", "shingles"])
+            odd = np.array(odd, np.int64).reshape(-1, SKETCH_WORDS)
+            return pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(n, pa.int64()), *map(pa.array, odd.T), pa.array(own, longs)], names)
 
         return step
 
-    schema = StructType([StructField("sid", BinaryType()), StructField("n", LongType()), StructField("sketch", ArrayType(LongType())), StructField("shingles", ArrayType(LongType()))])
-    made = map_batches(docs.select(text, slot.alias("slot")), make, schema)
-    return written(made.join(asked.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")), "sets")
+    schema = StructType([*[StructField(x, LongType()) for x in names[:-1]], StructField("shingles", ArrayType(LongType()))])
+    made = map_batches(docs.select(text, slot(F.xxhash64(key)).alias("slot")), make, schema)
+    out = written(made.join(asked.select("nid"), "nid", "left_semi").groupBy("nid").agg(*[F.first(x).alias(x) for x in names[1:]]), "sets")
+    shipped.destroy()
+    drop(asked)
+    return out
+
 
+def near(num: int) -> Column:
+    """What every linked pair meets, from sizes and sketches alone (columns of ``_sides``)."""
+    na, nb = F.col("na"), F.col("nb")
+    apart = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in SKETCH), F.lit(0))
+    return (num * F.greatest(na, nb) <= 100 * F.least(na, nb)) & ((100 + num) * apart <= (100 - num) * (na + nb))
 
-def near(na: str, nb: str, oa: str, ob: str, num: int) -> Column:
-    """What every linked pair meets, from sizes and sketches alone."""
-    apart = F.aggregate(F.zip_with(oa, ob, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return (num * F.greatest(na, nb) <= 100 * F.least(na, nb)) & ((100 + num) * apart <= (100 - num) * (F.col(na) + F.col(nb)))
+
+def _sides(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sizes and sketches, named for the one and the other end of a pair."""
+    return tuple(known.select(F.col("nid").alias(x), *[F.col(y).alias(y + x) for y in ("n", *SKETCH)]) for x in "ab")
 
 
 def verified(pairs: DataFrame, known: DataFrame, num: int) -> DataFrame:
-    """The linked ones of the distinct pairs (a, b), decided on the whole sets."""
-    small = known.select("sid", "n", "sketch")
-    left = small.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("oa"))
-    right = small.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("ob"))
-    close = pairs.join(left, "a").join(right, "b").where(near("na", "nb", "oa", "ob", num)).select("a", "b", "na", "nb")
-    whole = known.select("sid", "shingles")
-    both = close.join(whole.withColumnsRenamed({"sid": "a", "shingles": "sa"}), "a").join(whole.withColumnsRenamed({"sid": "b", "shingles": "sb"}), "b")
+    """The linked ones of the distinct pairs (a, b, ...), decided on the whole sets."""
+    whole = known.select("nid", "shingles")
+    both = pairs.join(whole.withColumnsRenamed({"nid": "a", "shingles": "sa"}), "a").join(whole.withColumnsRenamed({"nid": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return both.where(100 * common >= num * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns)
+
+
+def leftovers(large: DataFrame, labels: DataFrame, known: DataFrame, num: int) -> DataFrame | None:
+    """The near pairs (a, b) of different components that meet in large buckets, once each; None if every large bucket lies in one component."""
+    marked = large.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    counted = marked.groupBy("bid", "label").agg(F.count("*").alias("c")).groupBy("bid").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("c"))
+    active = written(marked.join(counted.where("c > 1").select("bid", "most"), "bid"), "active")
+    if active.isEmpty():
+        drop(active)
+        return None
+    listed = active.join(active.groupBy("nid").agg(F.collect_set("bid").alias("bids")), "nid")
+    one, other = _sides(known)
+    left = listed.where("label <> most").select(F.col("bid").alias("xa"), F.col("nid").alias("a"), F.col("label").alias("la"), F.col("bids").alias("ba")).join(one, "a")
+    right = listed.select(F.col("bid").alias("xb"), F.col("nid").alias("b"), F.col("label").alias("lb"), F.col("bids").alias("bb"), (F.col("label") == F.col("most")).alias("usual")).join(other, "b")
+    once = (F.col("usual") | (F.col("a") < F.col("b"))) & (F.array_min(F.array_intersect("ba", "bb")) == F.col("xa"))
+    met = left.join(right, (F.col("xa") == F.col("xb")) & (F.col("la") != F.col("lb")) & near(num) & once)
+    out = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    drop(active)
+    return out
 
 
 def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> DataFrame:
-    """The components (node, label) of all links: of the candidate pairs, and within large buckets."""
-    labels = components(verified(pairs, known, num))
-    tested, active = pairs, large
-    for r in range(STAR_ROUNDS + 1):
-        if active.isEmpty():
-            break
-        marked = active.select("bid", "sid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = marked.groupBy("bid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bid")
-        active = written(marked.join(mixed, "bid", "left_semi"), "active")
-        if active.isEmpty():
-            break
-        if r < STAR_ROUNDS:
-            hubs = active.groupBy("bid").agg(F.min_by(F.struct("sid", "label"), F.struct(F.xxhash64("sid", F.lit(r)), "sid")).alias("hub"))
-            met = active.join(hubs, "bid").where("label <> hub.label").select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"))
-        else:
-            # Sizes and sketches are tested within the join, so that only near pairs come out of it.
-            # A pair comes out of the least of its common buckets (as far as the lists of least buckets tell).
-            least = active.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("bid")), 1, 64).alias("bids"))
-            shown = active.join(known.select("sid", "n", "sketch"), "sid").join(least, "sid")
-            left = shown.select(F.col("bid").alias("xa"), F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("oa"), F.col("bids").alias("ba"))
-            right = shown.select(F.col("bid").alias("xb"), F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("ob"), F.col("bids").alias("bb"))
-            on = (F.col("xa") == F.col("xb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near("na", "nb", "oa", "ob", num)
-            on = on & ~F.coalesce(F.array_min(F.array_intersect("ba", "bb")) < F.col("xa"), F.lit(False))
-            met = left.join(right, on).select("a", "b")
-        met = written(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(met)
-        fresh = written(verified(met, known, num), "links")
-        if not fresh.isEmpty():  # what is connected already is one star a component
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh))
+    """The components (node, label < node) of all links: of the candidate pairs, and within large buckets."""
+    one, other = _sides(known)
+    close = written(pairs.join(one, "a").join(other, "b").where(near(num)).select("a", "b"), "close")
+    # A node's link to its least neighbour makes it a child of that neighbour.
+    labels = roots(verified(close.groupBy("b").agg(F.min("a").alias("a")), known, num).select(F.col("b").alias("node"), F.col("a").alias("label")))
+    labels = _merged(labels, close, known, num)
+    if (rest := leftovers(large, labels, known, num)) is not None:
+        labels = _merged(labels, rest, known, num)
+        drop(rest)
+    drop(close)
     return labels
 
 
+def _merged(labels: DataFrame, pairs: DataFrame, known: DataFrame, num: int) -> DataFrame:
+    """``labels`` after the pairs between different components are tested, and those of links become one. Deletes ``labels``."""
+    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias("l" + x)) for x in "ab")
+    apart = pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
+    fresh = written(verified(apart, known, num).select("la", "lb"), "links")
+    over = components(fresh, "la", "lb")
+    out = written(composed(labels, over), "labels")
+    drop(labels, fresh, over)
+    return out
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key reachable by links, for every row."""
-    return _classes(docs, key, text, k, num).drop("sid")
+    return _classes(docs, key, text, k, num)[0].drop("nid")
 
 
-def _classes(docs: DataFrame, key: str, text: str, k: int, num: int) -> DataFrame:
-    """``classes`` with the fingerprint of the set, null where it is empty."""
+def _classes(docs: DataFrame, key: str, text: str, k: int, num: int) -> tuple[DataFrame, frozenset[int]]:
+    """``classes`` with the name of the set (nid), null where it is empty; and the clashing words."""
     docs = docs.select(key, text)
-    profile, counts, shingles = profiles(docs, key, text, k)
-    pairs, large = candidates(buckets(docs, text, k, num, counts, shingles))
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(large.select("sid")).distinct()
-    labels = links(pairs, large, sets(docs, profile, wanted, key, text, k), num)
-    groups = profile.where("sid is not null").groupBy("sid").agg(F.min(key).alias("least"))
-    groups = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    whole = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = groups.join(whole, "label").select("sid", "component_id")
-    return profile.join(groups, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), "sid")
-
-
-def _with_fingerprints(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """``docs`` with ``__sid``, the fingerprint of a row's set."""
+    profile, counts, shingles, clashes = profiles(docs, key, text, k)
+    met = buckets(docs, text, k, num, counts, shingles, clashes)
+    pairs, large = candidates(met)
+    drop(met)
+    heads = written(profile.where("nid is not null").groupBy("nid").agg(F.min(key).alias("least")), "heads")
+    wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).unionByName(large.select("nid")).distinct()
+    known = sets(docs, heads, wanted, key, text, k, clashes)
+    labels = links(pairs, large, known, num)
+    drop(pairs, large, known)
+    members = labels.select(F.col("node").alias("nid"), "label").unionByName(labels.select(F.col("label").alias("nid"), "label").distinct()).join(heads, "nid")
+    whole = members.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = heads.join(members.join(whole, "label").select("nid", "component_id"), "nid", "left").select("nid", F.coalesce("component_id", "least").alias("component_id"))
+    return profile.join(named, "nid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), "nid"), clashes
+
+
+def _with_names(docs: DataFrame, text: str, k: int, clashes: frozenset[int]) -> DataFrame:
+    """``docs`` with ``__nid``, the name of a row's set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
-            sets = map(shingler.of, batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "__sid"])
+            own = [shingler.of(x) for x in batch.column(text).to_pylist()]
+            nids = [name(fingerprint(s), clashes) if len(s) else None for s in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nids, pa.int64())], [*batch.schema.names, "__nid"])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sid", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__nid", LongType())]))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
     """One row of every component, that of the smallest key, with all columns. Rows with a null key stay as they are.
 
     Rows that share key and text count once; texts are moved once, by key. Where
-    a key stands on texts of several components, rows go by key and fingerprint.
+    a key stands on texts of several components, rows go by key and set.
     """
     names = [f"`{x}`" for x in docs.columns]
-    done = written(_classes(docs, key, text, k, num), "classes")
+    found, clashes = _classes(docs, key, text, k, num)
+    done = written(found, "classes")
     away = done.where(F.col(key) != F.col("component_id"))
     gone = away.select(key).distinct()
     left = docs.join(gone, key, "left_anti").select(*names)
@@ -508,7 +550,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         return left
     mixed = gone.join(done.where(F.col(key) == F.col("component_id")), key, "left_semi")
     if not mixed.isEmpty():
-        told = _with_fingerprints(docs.join(mixed, key, "left_semi").select(*names), text, k)
-        left = left.unionByName(told.join(away.select(key, F.col("sid").alias("__sid")).distinct(), [key, "__sid"], "left_anti").select(*names))
+        told = _with_names(docs.join(mixed, key, "left_semi").select(*names), text, k, clashes)
+        left = left.unionByName(told.join(away.select(key, F.col("nid").alias("__nid")).distinct(), [key, "__nid"], "left_anti").select(*names))
     named = left.where(F.col(key).isNotNull()).withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicates([key, "__h"]).drop("__h")
     return named.unionByName(left.where(F.col(key).isNull()))

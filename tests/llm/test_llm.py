@@ -186,14 +186,17 @@ def brute_components(values, k=5, num=75):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("small", [48, 1])
-def test_jaccard_join_by_brute_force(spark, monkeypatch, small):
-    """With small = 1 all buckets take the way of large ones."""
+@pytest.mark.parametrize(("small", "names"), [(48, 64), (1, 64), (1, 5)])
+def test_jaccard_join_by_brute_force(spark, monkeypatch, small, names):
+    """With small = 1 all buckets take the way of large ones; with names of few bits many sets clash in one word."""
     monkeypatch.setattr(jaccard, "SMALL", small)
+    if names < 64:
+        whole = shingles.fingerprint
+        monkeypatch.setattr(jaccard, "fingerprint", lambda s: bytes([whole(s)[0] % (1 << names)]) + bytes(7) + whole(s)[8:])
     rng = np.random.default_rng(3)
     values = list(ODD)
-    for n in (4, 6, 9, 20, 60, 150, 400):
-        for _ in range(3):
+    for n in (4, 6, 9, 20, 60, 150, 400, 5000):
+        for _ in range(3 if n < 5000 else 1):
             base = list(rng.choice(WORDS, n))
             values.append(" ".join(base))
             for cut in (0.01, 0.02, 0.03, 0.05, 0.08):
@@ -236,8 +239,32 @@ def test_linked_sets_share_as_many_signatures_as_needed():
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 499)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[500] == got[499] == 499
+    assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 130), 100), 500: 499}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = np.random.default_rng(11)
+    pairs = rng.integers(0, 400, (300, 2)).tolist()
+    parent = list(range(400))
+    for _ in range(400):
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: p for i, p in enumerate(parent) if i != p}
+
+
+def test_large_buckets_of_several_components_are_settled(spark, monkeypatch):
+    """Documents that share one passage, and near copies among them that no hub links."""
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    rng = np.random.default_rng(12)
+    values, passage = [], [f"p{i}" for i in range(30)]
+    for d in range(40):
+        own = [f"w{d}x{i}" for i in range(60)]
+        for _ in range(int(rng.integers(1, 4))):
+            copy = list(own)
+            copy[int(rng.integers(60))] = "changed" + str(rng.integers(10**6))
+            values.append(" ".join(passage + copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(texts(spark, values)).collect()}
+    assert [got[i] for i in range(len(values))] == brute_components(values)
 
 
 def test_representatives_keep_one_of_each_group(spark):
