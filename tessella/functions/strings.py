@@ -120,27 +120,33 @@ def group(s, pattern: str, n: int = 0) -> Column:
 
 
 def findall(s, pattern: str) -> Column:
-    return F.regexp_extract_all(col(s), F.lit(f"({pattern})"), 1)
+    return F.regexp_extract_all(col(s), F.lit(pattern), 0)
 
 
 def count_matches(s, pattern: str) -> Column:
     return F.regexp_count(col(s), F.lit(pattern))
 
 
+def _matches(s, pattern: str) -> Column:
+    """array<struct<gap, size>>: the length of every match (it may be 0) and of the text between it and the match before.
+
+    Matches are marked by two code points that are no characters (U+FDD0, U+FDD1); texts hold none.
+    """
+    parts = F.split(F.regexp_replace(col(s), pattern, "\ufdd0$0\ufdd1"), "\ufdd0", -1)
+    size = lambda x: F.instr(x, "\ufdd1") - 1
+    before = lambda i: F.length(F.get(parts, i)) - F.when(i == 0, 0).otherwise(F.instr(F.get(parts, i), "\ufdd1"))
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.struct(before(i).alias("gap"), size(x).alias("size")))
+
+
 def find_locations(s, pattern: str) -> Column:
     """array<struct<start, length>> of all matches, in characters from 0."""
-    found = findall(s, pattern)
-    gaps = F.split(col(s), pattern, -1)
     step = lambda acc, x: F.array_append(acc, F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["start"] + F.try_element_at(acc, F.lit(-1))["length"], F.lit(0)) + x["gap"]).alias("start"), x["size"].alias("length")))
-    sizes = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"))
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,length:int>>")).otherwise(F.aggregate(sizes, F.array().cast("array<struct<start:int,length:int>>"), step))
+    return F.aggregate(_matches(s, pattern), F.array().cast("array<struct<start:int,length:int>>"), step)
 
 
 def locations(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """(key, n, start, length): a row a match. Linear in the text, where ``find_locations`` copies its result for every match."""
-    found, gaps = findall(text, pattern), F.split(col(text), pattern, -1)
-    pairs = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"))
-    rows = df.select(key, F.monotonically_increasing_id().alias("__r"), pairs.alias("__p")).select(key, "__r", F.posexplode("__p").alias("n", "__e"))
+    rows = df.select(key, F.monotonically_increasing_id().alias("__r"), _matches(text, pattern).alias("__p")).select(key, "__r", F.posexplode("__p").alias("n", "__e"))
     before = F.sum(F.col("__e.gap") + F.col("__e.size")).over(Window.partitionBy("__r").orderBy("n"))
     return rows.select(key, "n", (before - F.col("__e.size")).alias("start"), F.col("__e.size").alias("length"))
 

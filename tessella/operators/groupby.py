@@ -1,6 +1,8 @@
 """Grouped and whole-table reductions.
 
-All reductions asked for at once run in one aggregation. Missing means NULL or
+All reductions asked for at once run in one aggregation, but for those that look
+at distinct values (``BY_VALUE``) in groups: there equal values of a group are
+counted first, column by column, so that a hot group is spread by value. Missing means NULL or
 NaN: both are skipped where ``skipna``.
 """
 
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from tessella.functions.math import NAN
 
 
+#: Reductions of counted values.
+BY_VALUE = ("median", "nunique", "unique", "mode")
+
+
 def _value(name: str, df: DataFrame, skipna: bool) -> Column:
     c = F.col(name)
     return F.when(~F.isnan(c), c) if skipna and dict(df.dtypes)[name] in ("double", "float") else c
@@ -60,7 +66,24 @@ def aggregate(df: DataFrame, keys: Sequence[str], asked: dict[str, tuple], order
         kinds = dict(df.dtypes)
         for k in keys:
             kept = kept.where(F.col(k).isNotNull() & (~F.isnan(k) if kinds[k] in ("double", "float") else F.lit(True)))
-    return kept.groupBy(*keys).agg(*[reduction(df, kind, value, order, **more).alias(out) for out, (kind, value) in asked.items()])
+    plain = {out: x for out, x in asked.items() if not keys or x[0] not in BY_VALUE}
+    done = kept.groupBy(*keys).agg(*[reduction(df, kind, value, order, **more).alias(out) for out, (kind, value) in plain.items()]) if plain else None
+    for column in dict.fromkeys(value for out, (_, value) in asked.items() if out not in plain):
+        part = _by_value(kept, keys, column, {out: kind for out, (kind, value) in asked.items() if out not in plain and value == column}, more.get("skipna", True))
+        if done is None:
+            done = part
+            continue
+        other = part.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        done = done.join(other, same).drop(*[f"__k{i}" for i in range(len(keys))])
+    return done.select(*[f"`{k}`" for k in keys], *[f"`{out}`" for out in asked])
+
+
+def _by_value(df: DataFrame, keys: Sequence[str], column: str, kinds: dict[str, str], skipna: bool) -> DataFrame:
+    counted = df.groupBy(*keys, _value(column, df, skipna).alias("__v")).agg(F.count("*").alias("__c"))
+    least = F.min(F.when(F.col("__v").isNotNull(), F.struct((-F.col("__c")).alias("c"), F.col("__v").alias("v"))))["v"]
+    made = {"median": F.percentile("__v", 0.5, F.col("__c")), "nunique": F.count("__v"), "unique": F.sort_array(F.collect_set("__v")), "mode": least}
+    return counted.groupBy(*keys).agg(*[made[kind].alias(out) for out, kind in kinds.items()])
 
 
 def whole(df: DataFrame, asked: dict[str, tuple], order: Sequence[str] = (), **more) -> DataFrame:

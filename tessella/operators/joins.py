@@ -68,7 +68,8 @@ def join_on_eq_with_dt(left: DataFrame, right: DataFrame, key: str, t_left: str,
     """Pairs with equal keys and times within dt.
 
     Time is cut into spans of dt, so a pair lies in neighbouring spans: the
-    join is on (key, span), and a hot key is spread over its spans.
+    join is on (key, span), and a hot key is spread over its spans. With a
+    ``limit`` any so many pairs come out, or the first ones by ``order``.
     """
     a, b = left.alias("a"), right.alias("b")
     if predicate == "true_dt":
@@ -82,7 +83,9 @@ def join_on_eq_with_dt(left: DataFrame, right: DataFrame, key: str, t_left: str,
         inside = F.abs(gap) <= dt if predicate == "abs_dt" else (gap >= 0) & (gap <= dt)
         out = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__span") == F.col("b.__span")) & inside)
     picked = out.select(*[F.col(f"a.{c}").alias(f"left_{c}") for c in left.columns], *[F.col(f"b.{c}").alias(f"right_{c}") for c in right.columns])
-    return picked.orderBy(*order).limit(limit) if limit is not None else picked
+    if limit is None:
+        return picked
+    return (picked.orderBy(*order) if order else picked).limit(limit)
 
 
 def search_intervals(df: DataFrame, intervals: DataFrame, value: str, low: str = "low", high: str = "high", width: float | None = None, tiebreak: str | None = None) -> DataFrame:

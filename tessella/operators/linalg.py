@@ -72,6 +72,10 @@ def csr(m: DataFrame) -> DataFrame:
 
 
 def random_sparse(spark: SparkSession, n: int, density: float, seed: int = 0) -> DataFrame:
-    """About density * n * n entries of uniform values at distinct places."""
-    cells = spark.range(int(n * n * density * 1.0)).select(F.floor(F.rand(seed) * n).cast("long").alias("i"), F.floor(F.rand(seed + 1) * n).cast("long").alias("j"), F.rand(seed + 2).alias("v"))
-    return cells.groupBy("i", "j").agg(F.max("v").alias("v"))
+    """density * n * n entries of uniform values at distinct places: the matrix, read by rows, is cut into as many parts, each with one entry."""
+    from tessella.operators.random import unit
+
+    k = round(n * n * min(max(density, 0.0), 1.0))
+    place = F.floor((F.col("id") + unit(F.col("id"), seed)) * (n * n / max(k, 1))).cast("decimal(38,0)")  # one cell of each k-th part of the matrix
+    cells = spark.range(k).select("id", F.least(place, F.lit(n * n - 1).cast("decimal(38,0)")).alias("__c"))
+    return cells.select(F.floor(F.col("__c") / n).cast("long").alias("i"), (F.col("__c") % n).cast("long").alias("j"), unit(F.col("id"), seed, 1).alias("v"))

@@ -57,11 +57,12 @@ def scatter(df: DataFrame, updates: DataFrame, value: str, pos: str = "pos", new
 def searchsorted(df: DataFrame, values: DataFrame, column: str, value: str, side: str = "left") -> DataFrame:
     """(value, slot): how many elements of the column lie before each distinct value.
 
-    One sort of both together and a two-level running count, no pair of rows
-    is ever formed.
+    Equal elements are counted first, so a frequent one is a single row; then
+    one sort of both together and a two-level running count, no pair of rows is
+    ever formed.
     """
-    both = df.select(F.col(column).alias("__v"), F.lit(1 if side == "left" else 0).alias("__k"), F.lit(1).alias("__one")).unionByName(
-        values.select(F.col(value).alias("__v"), F.lit(0 if side == "left" else 1).alias("__k"), F.lit(0).alias("__one")).distinct()
+    both = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__one")).select("__v", F.lit(1 if side == "left" else 0).alias("__k"), "__one").unionByName(
+        values.select(F.col(value).alias("__v"), F.lit(0 if side == "left" else 1).alias("__k"), F.lit(0).cast("long").alias("__one")).distinct()
     )
     counted = running(both, ["__v", "__k"], F.col("__one"), "slot")
     return counted.where("__one = 0").select(F.col("__v").alias(value), "slot")
@@ -73,19 +74,32 @@ def running(df: DataFrame, order: Sequence, value: Column, out: str, function: s
     With ``partition_by`` a window does it. Without, the table is cut into
     ranges, whose totals are carried on.
     """
-    agg = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}[function]
     if partition_by:
+        agg = RUNNING[function]
         return df.withColumn(out, agg(value).over(Window.partitionBy(*partition_by).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_values(df, order, {out: (function, value)})
+
+
+RUNNING = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
+
+
+def running_values(df: DataFrame, order: Sequence, asked: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Several running values (output -> function, value) in one pass: one sort by range, one table of the ranges' totals."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("__x", value).repartitionByRange(n, *_columns(order)).withColumn("__p", F.spark_partition_id())
+    kinds = [(i, out, function, RUNNING[function]) for i, (out, (function, _)) in enumerate(asked.items())]
+    ranged = df.withColumns({f"__x{i}": value for i, (_, value) in enumerate(asked.values())}).repartitionByRange(n, *_columns(order)).withColumn("__p", F.spark_partition_id())
     ranged = cut(ranged, "running")
-    totals = ranged.groupBy("__p").agg(agg("__x").alias("__t"))
-    carry = totals.withColumn("__c", agg("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", "__c")
+    totals = ranged.groupBy("__p").agg(*[agg(f"__x{i}").alias(f"__t{i}") for i, _, _, agg in kinds])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("__p", *[agg(f"__t{i}").over(before).alias(f"__c{i}") for i, _, _, agg in kinds])
     inside = Window.partitionBy("__p").orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-    met = ranged.withColumn("__own", agg("__x").over(inside)).join(F.broadcast(carry), "__p")
-    own, before = F.col("__own"), F.col("__c")
-    joined = {"sum": own + F.coalesce(before, F.lit(0)), "product": own * F.coalesce(before, F.lit(1.0)), "min": F.least(own, before), "max": F.greatest(own, before)}[function]
-    return met.withColumn(out, joined).drop("__x", "__p", "__own", "__c")
+    met = ranged.withColumns({f"__own{i}": agg(f"__x{i}").over(inside) for i, _, _, agg in kinds}).join(F.broadcast(carry), "__p")
+
+    def joined(i: int, function: str) -> Column:
+        own, before = F.col(f"__own{i}"), F.col(f"__c{i}")
+        return {"sum": own + F.coalesce(before, F.lit(0)), "product": own * F.coalesce(before, F.lit(1.0)), "min": F.least(own, before), "max": F.greatest(own, before)}[function]
+
+    return met.withColumns({out: joined(i, function) for i, out, function, _ in kinds}).drop("__p", *[f"__{x}{i}" for i, *_ in kinds for x in ("x", "own", "c")])
 
 
 def diff(df: DataFrame, order: Sequence, value: str, out: str = "diff", partition_by: Sequence[str] = ()) -> DataFrame:

@@ -52,21 +52,49 @@ class Generator:
         u = self._u()
         return loc + scale * F.ln(u / (1 - u))
 
-    def standard_gamma(self, shape: float, tries: int = 12) -> Column:
-        """Marsaglia and Tsang; the first accepted of several tries (one fails about once in 20)."""
+    def _accepted(self, propose) -> Column:
+        """The first accepted of a row of proposals; ``propose`` gets uniforms and returns (accepted, value). All 200 fail in less than 1 in 10**100 rows."""
+        first = self.stream + 1
+        self.stream += 4
+        key = F.col(self.key).cast("long")
+
+        def step(found: Column, i: Column) -> Column:
+            u = [(F.shiftrightunsigned(F.xxhash64(key, F.lit(self.seed), F.lit(first + s), i), 11).cast("double") + 0.5) / float(1 << 53) for s in range(4)]
+            fine, value = propose(*u)
+            return F.when(found.isNotNull(), found).when(fine, value)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.lit(None).cast("double"), step)
+
+    def standard_gamma(self, shape: float) -> Column:
+        """Marsaglia and Tsang."""
         boost = shape < 1
         d = (shape + 1 if boost else shape) - 1 / 3
         c = 1 / math.sqrt(9 * d)
-        out = F.lit(d)
-        for _ in range(tries):
-            x, u = self.standard_normal(), self._u()
-            v = F.pow(1 + c * x, F.lit(3.0))
-            fine = (1 + c * x > 0) & (F.ln(u) < 0.5 * x * x + d - d * v + d * F.ln(F.when(v > 0, v)))
-            out = F.when(F.coalesce(fine, F.lit(False)), d * v).otherwise(out)
+
+        def propose(u, v, w, _):
+            x = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+            cube = F.pow(1 + c * x, F.lit(3.0))
+            return (1 + c * x > 0) & (F.ln(w) < 0.5 * x * x + d - d * cube + d * F.ln(F.when(cube > 0, cube))), d * cube
+
+        out = self._accepted(propose)
         return out * F.pow(self._u(), F.lit(1 / shape)) if boost else out
 
     def poisson(self, lam: float) -> Column:
-        """By inversion: how many of the cumulative probabilities lie below a uniform."""
+        """By inversion: how many of the cumulative probabilities lie below a uniform; from 100 on by rejection from a transformed uniform (Hörmann)."""
+        if lam >= 100:
+            b = 0.931 + 2.53 * math.sqrt(lam)
+            a, top, cut = -0.059 + 0.02483 * b, 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2)
+
+            def propose(u, v, *_):
+                u = u - 0.5
+                near = 0.5 - F.abs(u)
+                k = F.floor((2 * a / near + b) * u + lam + 0.43).cast("double")
+                x = F.when(k >= 0, k + 1)  # ln gamma(x) by Stirling's series
+                gamma = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+                slow = F.ln(v * top / (a / (near * near) + b)) <= k * math.log(lam) - lam - gamma
+                return ((near >= 0.07) & (v <= cut)) | ((k >= 0) & ~((near < 0.013) & (v > near)) & slow), k
+
+            return self._accepted(propose).cast("long")
         top = int(lam + 12 * math.sqrt(lam) + 20)
         p, total, cumulative = math.exp(-lam), 0.0, []
         for k in range(top):

@@ -314,8 +314,7 @@ def q_searchsorted(spark, d):
 
 @query("SELECT event_id, round(sum(value) OVER (ORDER BY event_id), 2) AS cumsum, max(value) OVER (ORDER BY event_id) AS cummax FROM events")
 def q_cumsum(spark, d):
-    df = position.running(table(spark, d, "events").select("event_id", "value"), ["event_id"], F.col("value"), "cumsum")
-    df = position.running(df, ["event_id"], F.col("value"), "cummax", "max")
+    df = position.running_values(table(spark, d, "events").select("event_id", "value"), ["event_id"], {"cumsum": ("sum", F.col("value")), "cummax": ("max", F.col("value"))})
     return df.select("event_id", F.round("cumsum", 2).alias("cumsum"), "cummax")
 
 

@@ -63,6 +63,9 @@ def test_peel_and_locations(spark):
     r = one(spark, a=left, b=right, c=l2, d=r2, e=l3, f=r3, g=strings.find_locations(F.lit("_1__2_"), "_+"), h=strings.subn(F.lit("a1b22"), "[0-9]+", "#"))
     assert tuple(r)[:6] == ("a", "b_c", "a_b", "c", "", "abc")
     assert [tuple(x) for x in r.g] == [(0, 1), (2, 2), (5, 1)] and tuple(r.h) == ("a#b#", 2)
+    found = one(spark, a=strings.findall(F.lit("aabba"), r"(\w)\1"), b=strings.find_locations(F.lit("aabba"), r"(\w)\1"), c=strings.find_locations(F.lit("ab"), "x*"), d=strings.find_locations(F.lit(""), "x"))
+    assert found.a == ["aa", "bb"] and [tuple(x) for x in found.b] == [(0, 2), (2, 2)]
+    assert [tuple(x) for x in found.c] == [(0, 0), (1, 0), (2, 0)] and found.d == []
     df = spark.createDataFrame([(1, "_1__2_"), (2, "x")], "k int, s string")
     assert sorted((x.k, x.start, x.length) for x in strings.locations(df, "k", "s", "_+").collect()) == [(1, 0, 1), (1, 2, 2), (1, 5, 1)]
 

@@ -120,6 +120,37 @@ def test_random_does_not_depend_on_partitions(spark):
     assert abs(r[0]) < 0.1 and abs(r[1] - 3) < 0.2 and abs(r[2] - 2) < 0.2 and abs(r[3] - 2) < 0.2
 
 
+def test_random_of_large_rates_and_small_shapes(spark):
+    df, g = spark.range(4000).withColumnRenamed("id", "pos"), random.Generator(2)
+    for lam in (150.0, 2000.0, 1e7):
+        mean, var = df.select(g.poisson(lam).alias("x")).agg(F.avg("x"), F.var_samp("x")).first()
+        assert abs(mean - lam) < 5 * (lam / 4000) ** 0.5 and 0.85 < var / lam < 1.15
+    mean, var = df.select(g.standard_gamma(0.5).alias("x")).agg(F.avg("x"), F.var_samp("x")).first()
+    assert abs(mean - 0.5) < 0.06 and abs(var - 0.5) < 0.15
+
+
+def test_random_sparse_has_its_density(spark):
+    m = linalg.random_sparse(spark, 50, 0.2, 3)
+    assert m.count() == 500 == m.select("i", "j").distinct().count()
+    assert rows(m) == rows(linalg.random_sparse(spark, 50, 0.2, 3).repartition(3))
+
+
+def test_time_join_with_a_limit(spark):
+    df = spark.createDataFrame([(i, 1, i) for i in range(20)], "id int, k int, t int")
+    assert joins.join_on_eq_with_dt(df, df, "k", "t", "t", 2, limit=7).count() == 7
+
+
+def test_reductions_by_value_on_a_hot_group(spark):
+    data = [(None if i % 50 == 0 else "hot" if i % 3 else "b", None if i % 7 == 0 else float(i % 5)) for i in range(700)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = groupby.aggregate(df, ["k"], {"m": ("median", "v"), "n": ("nunique", "v"), "u": ("unique", "v"), "o": ("mode", "v"), "s": ("sum", "v")}, dropna=False)
+    assert got.columns == ["k", "m", "n", "u", "o", "s"]
+    for r in got.collect():
+        xs = [v for k, v in data if k == r.k and v is not None]
+        assert (r.m, r.n, r.u, r.s) == (float(np.median(xs)), len(set(xs)), sorted(set(xs)), sum(xs))
+        assert r.o == min(set(xs), key=lambda x: (-xs.count(x), x))
+
+
 def test_construction(spark):
     f = lambda df: [r.value for r in df.orderBy("pos").collect()]
     a = create.arange(spark, 2, 11, 3)
@@ -164,7 +195,11 @@ def test_round_trip(spark, tmp_path):
 def test_streaming_windows(spark, sf_dir, tmp_path):
     from tessella.streaming import windows
 
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for kind in ("timestamp", "timestamp_ntz"):
+        assert windows.windowed(events.withColumn("ts", F.col("ts").cast(kind)), "ts", ["event_type"], "value", "1 hour").agg(F.sum("n")).first()[0] == events.count()
+        assert windows.sessions(events.withColumn("ts", F.col("ts").cast(kind)), "ts", ["user_id"]).agg(F.sum("n")).first()[0] == events.count()
+    schema = events.schema
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "events.parquet").symlink_to(f"{sf_dir}/events.parquet")
     stream = windows.read_stream(spark, str(tmp_path / "in"), schema)
