@@ -45,13 +45,10 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, by ``rules.assess``."""
     from tessella.llm import rules
-    from tessella.llm.base import written
 
-    counted = rules.with_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    voted = written(rules.with_votes(counted), "votes")
-    judged = rules.judged(voted, rules.fit(voted))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return rules.assess(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,27 +2,35 @@
 
 Every rule looks at a few counts of the whole text and votes good (1), bad
 (-1) or abstains (0). Nobody says how far a rule can be trusted: expectation
-maximisation over the table of vote patterns estimates, for each rule, how
-often its votes agree with the hidden quality, for good and for bad documents.
-The posterior probability of good quality then replaces "all rules must pass".
+maximisation over the table of vote patterns estimates how often each rule
+votes which way on good documents and on bad ones. Bad documents are of
+several kinds, one for each rule that may know it, as junk that one rule sees
+is seldom seen by the others; what else a kind's documents get voted is
+estimated too. The posterior probability of good quality then replaces "all
+rules must pass": a rule that often cries wolf alone is outvoted.
 
 The vote patterns of m rules are at most 3**m whatever the corpus (6561 for
 the rules here), so only that table of counts reaches the driver, and the
-posterior is a sum of literal weights, without a join.
+posterior is made of literal weights, without a join.
 
 Defined results: a null or empty text has no words (all counts 0) and fails
-the base rules; repeated rows are judged alike; other columns are kept; on an
-empty table the estimated accuracies are the prior ones.
+the base rules; texts of any length are counted whole, in memory of a few
+dozen times one text; repeated rows are judged alike; other columns are kept,
+those named like a count, ``quality``, ``base_failed`` or ``kept`` are
+replaced where counts are asked for; on an empty table the estimated
+accuracies are the prior ones.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.base import written
+
 #: ASCII white space, between words.
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -95,76 +103,69 @@ def with_votes(counted: DataFrame, voting: dict[str, Column] | None = None) -> D
 
 @dataclass(frozen=True)
 class Accuracies:
-    """What is estimated: the share of good documents, and how often each rule votes either way on good and on bad ones."""
+    """What is estimated: the share of good documents and of each kind of bad ones, and how a rule votes (bad, not, good) on each; class 0 is good."""
 
-    prior: float
     names: tuple[str, ...]
-    bad_votes: tuple[tuple[float, float], ...]  # P(votes bad | good), P(votes bad | bad)
-    good_votes: tuple[tuple[float, float], ...]  # P(votes good | good), P(votes good | bad)
+    shares: np.ndarray  # class
+    outcomes: np.ndarray  # class, rule, outcome; every last row is a distribution
 
     def accuracy(self, name: str) -> tuple[float, float]:
         """P(right | votes), for documents that are good and for those that are bad."""
         j = self.names.index(name)
-        (bg, bb), (gg, gb) = self.bad_votes[j], self.good_votes[j]
-        return gg / (gg + bg), bb / (bb + gb)
-
-    def weights(self) -> list[tuple[float, float, float]]:
-        """Log odds of good quality that a bad vote, no vote and a good vote add. A vote never argues against itself."""
-        out = []
-        for (bg, bb), (gg, gb) in zip(self.bad_votes, self.good_votes, strict=True):
-            none = math.log((1 - bg - gg) / (1 - bb - gb))
-            out.append((min(0.0, math.log(bg / bb)), none, max(0.0, math.log(gg / gb))))
-        return out
-
-    def log_odds(self) -> Column:
-        out = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (minus, none, plus) in zip(self.names, self.weights(), strict=True):
-            out = out + F.when(F.col(PREFIX + name) == 1, plus).when(F.col(PREFIX + name) == -1, minus).otherwise(none)
-        return out
-
-
-def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60, prior: float = 0.85, weight: float = 0.01, false_alarm: float = 0.001, lift: float = 1.2) -> Accuracies:
+        good = self.outcomes[0, j]
+        bad = self.shares[1:] @ self.outcomes[1:, j] / self.shares[1:].sum()
+        return float(good[2] / (good[2] + good[0])), float(bad[0] / (bad[0] + bad[2]))
+
+    def odds(self) -> np.ndarray:
+        """Log odds against good of every kind, rule and outcome."""
+        return np.log(self.outcomes[1:] / self.outcomes[0])
+
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        """P(good | votes)."""
+        each = np.log(self.shares[1:] / self.shares[0]) + sum(self.odds()[:, j, v + 1] for j, v in enumerate(votes))
+        return float(1 / (1 + np.exp(each).sum()))
+
+    def quality(self) -> Column:
+        """``posterior`` of the vote columns."""
+        against = F.lit(0.0)
+        for share, odds in zip(np.log(self.shares[1:] / self.shares[0]).tolist(), self.odds().tolist(), strict=True):
+            one = F.lit(share)
+            for name, (minus, none, plus) in zip(self.names, odds, strict=True):
+                vote = F.col(PREFIX + name)
+                one = one + F.when(vote == 1, plus).when(vote == -1, minus).otherwise(none)
+            against = against + F.exp(one)
+        return 1 / (1 + against)
+
+
+def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 200, prior: float = 0.85, weight: float = 0.02, alarm: float = 0.005, catch: float = 0.9) -> Accuracies:
     """Expectation maximisation over (votes, count).
 
-    Rules are written to be precise, and each knows one kind of junk only, so
-    the kinds are held together by two bounds: on good documents a rule votes
-    bad at most ``false_alarm`` of the time, and where it doesn't, good votes
-    and abstentions are each at most ``lift`` times as usual on one kind as on
-    the other. The start, which counts as ``weight`` times the rows (the prior
-    ten times as much), is within them. A rule's three outcomes are one
-    distribution: good votes and abstentions divide what the bad votes leave,
-    and one of either is added to what is counted.
+    The start is that rules vote bad on a share ``alarm`` of good documents and
+    a rule on a share ``catch`` of its kind of bad ones, and otherwise as usual;
+    it stays as a Dirichlet prior that counts as ``weight`` times the rows.
+    Every estimate is a count with that prior over its total, so outcomes and
+    shares sum to 1, and no estimate is bounded.
     """
-    total = sum(n for _, n in patterns)
+    m, total = len(names), sum(n for _, n in patterns)
     pseudo = max(1.0, weight * total)
-    usual = [(sum(n for v, n in patterns if v[j] == 1) + 1) / (total + 2) for j in range(len(names))]
-    within = lambda x, a: min(1 - (1 - a) / lift, max(a / lift, 1 - lift * (1 - a), x))
-    start_bad, start_good = (false_alarm, 0.4), [(u, within(u / lift, u)) for u in usual]  # good votes: among those that aren't bad
-    rest = lambda bad, good: tuple((1 - b) * g for b, g in zip(bad, good, strict=True))
-    model = Accuracies(prior, tuple(names), (start_bad,) * len(names), tuple(rest(start_bad, g) for g in start_good))
+    votes = np.eye(3)[np.array([v for v, _ in patterns], int).reshape(-1, m) + 1]  # pattern, rule, outcome
+    rows = np.array([n for _, n in patterns], float)
+    usual = (np.einsum("p,pro->ro", rows, votes) + 1) / (total + 3)
+
+    def divided(bad: np.ndarray) -> np.ndarray:
+        """Outcomes of a class: what bad votes leave is divided as usual."""
+        return np.column_stack([bad, (1 - bad)[:, None] * usual[:, 1:] / usual[:, 1:].sum(1, keepdims=True)])
+
+    mean = np.stack([divided(np.full(m, alarm)), *[divided(np.where(np.arange(m) == k, catch, usual[:, 0])) for k in range(m)]])
+    first = np.array([prior, *[(1 - prior) / m] * m])
+    shares, outcomes = first, mean
     for _ in range(rounds if total else 0):
-        weights, base = model.weights(), math.log(model.prior / (1 - model.prior))
-        mass, sums = [0.0, 0.0], [[0.0] * 4 for _ in names]
-        for votes, n in patterns:
-            x = base + sum(weights[j][v + 1] for j, v in enumerate(votes))
-            q = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-            mass[0] += q * n
-            mass[1] += (1 - q) * n
-            for j, v in enumerate(votes):
-                if v:
-                    k = 0 if v < 0 else 2
-                    sums[j][k] += q * n
-                    sums[j][k + 1] += (1 - q) * n
-        share = lambda x, of, start: min(0.999, max(1e-4, (x + start * pseudo) / (of + pseudo)))
-        bads = [(min(false_alarm, share(s[0], mass[0], start_bad[0])), share(s[1], mass[1], start_bad[1])) for s in sums]
-        goods = [(a := share(s[2], mass[0] - s[0], g[0]), within(share(s[3], mass[1] - s[1], g[1]), a)) for s, g in zip(sums, start_good, strict=True)]
-        model = Accuracies(
-            min(0.995, max(0.5, (mass[0] + 10 * prior * pseudo) / (total + 10 * pseudo))),
-            tuple(names),
-            tuple(bads),
-            tuple(rest(b, g) for b, g in zip(bads, goods, strict=True)),
-        )
-    return model
+        x = np.log(shares) + np.einsum("pro,cro->pc", votes, np.log(outcomes))
+        x = np.exp(x - x.max(1, keepdims=True))
+        mass = x / x.sum(1, keepdims=True) * rows[:, None]
+        outcomes = (np.einsum("pc,pro->cro", mass, votes) + pseudo * first[:, None, None] * mean) / (mass.sum(0) + pseudo * first)[:, None, None]
+        shares = (mass.sum(0) + pseudo * first) / (total + pseudo)
+    return Accuracies(tuple(names), shares, outcomes)
 
 
 def fit(voted: DataFrame, names: list[str] | None = None) -> Accuracies:
@@ -178,16 +179,20 @@ def fit(voted: DataFrame, names: list[str] | None = None) -> Accuracies:
 def judged(voted: DataFrame, model: Accuracies, threshold: float = 0.5) -> DataFrame:
     """Add ``quality`` (posterior probability), ``base_failed`` and ``kept``; votes go."""
     n = F.col("n_words")
-    return voted.withColumns({"quality": 1 / (1 + F.exp(-model.log_odds())), "base_failed": (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)}).withColumn(
+    return voted.withColumns({"quality": model.quality(), "base_failed": (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= threshold)
     ).drop(*[PREFIX + x for x in model.names])
 
 
+def assess(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the text, with counts and verdict. The counts are written once, to fit and to judge."""
+    voted = written(with_votes(with_counts(docs, text).drop(text)), "votes")
+    return judged(voted, fit(voted), threshold)
+
+
 def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents kept, with their columns. Counts are made twice (to fit, to judge): cheaper than storing or moving texts."""
-    names = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    # A column that is not deterministic keeps the filter above the counts; pushed below them it would repeat them for every use.
-    counted = with_counts(boxed, "__text").withColumn("__at", F.monotonically_increasing_id())
-    model = fit(with_votes(with_counts(docs.select(F.col(f"`{text}`").alias("__text")), "__text")))
-    return judged(with_votes(counted), model, threshold).where(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
+    """The documents kept, with their columns. They are written once with their votes, as counting costs more than that."""
+    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    voted = with_votes(with_counts(boxed, "__text")).select("__row", "n_words", "n_repeat_words", *[PREFIX + x for x in rules()])
+    voted = written(voted, "votes")
+    return judged(voted, fit(voted), threshold).where("kept").select("__row.*")

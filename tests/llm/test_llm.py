@@ -108,20 +108,37 @@ def test_rules_drop_junk_and_keep_clean(spark):
     assert rules.filter_documents(texts(spark, [None]).limit(0)).count() == 0
 
 
-def test_estimation_is_monotone():
-    model = rules.maximise([((0, 0), 900), ((-1, 0), 60), ((0, -1), 40)], ["a", "b"])
-    (bad_a, none_a, _), (_, none_b, _) = model.weights()
-    base = np.log(model.prior / (1 - model.prior))
-    assert base + none_a + none_b > 0 > base + bad_a + none_b and model.accuracy("a")[1] > 0.9
-    assert rules.maximise([], ["a"]).prior == 0.85
-
-
-def test_outcomes_of_a_rule_are_one_distribution():
+def test_outcomes_are_distributions():
     model = rules.maximise([((1, 0), 9000), ((0, -1), 300), ((1, -1), 300), ((-1, 0), 200), ((0, 0), 200)], ["a", "b"])
-    for (bg, bb), (gg, gb) in zip(model.bad_votes, model.good_votes, strict=True):
-        assert 0 < bg + gg < 1 and 0 < bb + gb < 1
-    (_, none, _), (bad, _, _) = model.weights()
-    assert abs(none) < 1 and np.log(model.prior / (1 - model.prior)) + none + bad < 0
+    assert np.allclose(model.outcomes.sum(2), 1) and np.isclose(model.shares.sum(), 1) and (model.outcomes > 0).all()
+    none = rules.maximise([], ["a"])
+    assert none.shares[0] == 0.85 and none.posterior((-1,)) < 0.5 < none.posterior((0,))
+
+
+def test_planted_accuracies_are_recovered():
+    """Four rules, four kinds of junk; what "c" knows "b" and "d" see too, so that "c" alone is a false alarm."""
+    rng = np.random.default_rng(8)
+    truth = np.array([[0.005, 0.005, 0.006, 0.005], [0.95, 0.01, 0.01, 0.01], [0.02, 0.95, 0.02, 0.8], [0.02, 0.9, 0.95, 0.9], [0.02, 0.1, 0.02, 0.95]])
+    kind = rng.choice(5, 60_000, p=[0.8, 0.06, 0.05, 0.06, 0.03])
+    votes = Counter(tuple(map(int, v)) for v in -(rng.random((len(kind), 4)) < truth[kind]).astype(int))
+    model = rules.maximise(sorted(votes.items()), list("abcd"))
+    assert np.abs(model.shares - [0.8, 0.06, 0.05, 0.06, 0.03]).max() < 0.02 and np.abs(model.outcomes[0, :, 0] - truth[0]).max() < 0.01
+    assert np.abs(np.diag(model.outcomes[1:, :, 0]) - np.diag(truth[1:])).max() < 0.1
+    assert model.posterior((0, 0, -1, 0)) > 0.5 > model.posterior((-1, 0, 0, 0))  # one bad vote is outvoted, another one isn't
+    assert model.accuracy("a")[1] > 0.9
+
+
+def test_verdict_by_brute_force(spark, sf_dir):
+    """Posterior and verdict of the query, from the votes by Bayes' rule in plain numbers."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    voted = rules.with_votes(rules.with_counts(docs)).collect()
+    names = list(rules.rules())
+    ballots = {r.doc_id: tuple(r[rules.PREFIX + x] for x in names) for r in voted}
+    model = rules.maximise(sorted(Counter(ballots.values()).items()), names)
+    for r in queries.op3_quality_rules(spark, sf_dir).collect():
+        likely = [share * np.prod([row[v + 1] for row, v in zip(rows, ballots[r.doc_id], strict=True)]) for share, rows in zip(model.shares, model.outcomes, strict=True)]
+        assert r.quality == pytest.approx(likely[0] / sum(likely), abs=1e-9)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed and r.quality >= 0.5)
 
 
 def test_long_texts_need_distinct_words(spark):
