@@ -1,11 +1,11 @@
 """Quality by importance resampling: hashed n-gram models and Gumbel top-k.
 
 Two generative models, of target text and of raw text, give every hashed
-unigram and bigram a probability; a document's log weight is the sum of the
-log ratios over its n-grams, divided by their number and multiplied by
-``scale`` so that length alone decides nothing. With Gumbel noise (a function
-of the key, so repeatable) added, the ``share`` of all documents with the
-largest keys is a sample without replacement in proportion to the weights.
+unigram and bigram a probability; a document's log importance weight is the sum
+of the log ratios over all its n-grams (times ``temper``, 1 unless another
+exponent of the weights is wanted). With Gumbel noise (a function of the key,
+so repeatable) added, the ``share`` of all documents with the largest keys is a
+sample without replacement in proportion to the weights.
 
 The raw model counts every n-gram of every document. The target is the text of
 at most ``max_rows`` labelled good rows (a documented bound). What leaves a
@@ -13,10 +13,12 @@ task is one count a bucket. The top-k is exact: the k-th largest key is found
 by counting digits, four rounds of at most 65,536 counts, never by a global
 sort or by collecting keys.
 
-Defined results: null or empty texts have no n-grams and weight 0; repeated
-rows share one key and are kept or dropped together at the threshold only by
-their order of key, so ties at the threshold are all kept; without target text
-all weights are 0; an empty table gives an empty table.
+Defined results: null or empty texts have no n-grams and log weight 0; texts
+of any length are counted whole; rows that share a key and a text share a
+sample key, and ties at the threshold are all kept; null labels and labels
+without a document are no target; without target text all log weights are 0;
+columns other than key and text are ignored, whatever their names; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -91,19 +93,24 @@ def gumbel(key: Column, seed: int = 1) -> Column:
 
 
 def digits(value: Column) -> Column:
-    """An integer that orders as the doubles do (by their IEEE bits, through an exact scaling of the range in use)."""
-    return F.round(value * 1e9).cast("long")
+    """A long that orders exactly as doubles do: the IEEE bits, with the lower ones of negative numbers turned round. No NaN."""
+    size = F.abs(value)
+    exponent = F.when(size == 0, 0).otherwise(F.greatest(F.floor(F.log2(size)).cast("int"), F.lit(-1022)))
+    exponent = exponent + F.when(size >= F.pow(F.lit(2.0), exponent + 1), 1).when((size < F.pow(F.lit(2.0), exponent)) & (exponent > -1022), -1).otherwise(0)
+    part = (size / F.pow(F.lit(2.0), exponent) * float(1 << 52)).cast("long") - F.lit(1 << 52)
+    bits = F.when(size < 2.0**-1022, 0).otherwise((exponent + 1023).cast("long") * F.lit(1 << 52) + part)
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def kth_largest(df: DataFrame, value: str, k: int) -> int | None:
-    """The k-th largest of a long column within +-2**62, by four rounds of digit counts."""
+    """The k-th largest of a long column, by four rounds of digit counts: at most 65,536 numbers a round reach the driver."""
     if k <= 0:
         return None
-    shifted, prefix = F.col(value) + (1 << 62), 0
+    shifted, prefix = F.col(value).bitwiseXOR(F.lit(-(1 << 63))), 0
     for r in range(4):
         low = 48 - 16 * r
-        part = df.where(F.shiftright(shifted, low + 16) == prefix) if r else df
-        counts = {x.d: x["count"] for x in part.groupBy((F.shiftright(shifted, low) % 65536).alias("d")).count().collect()}
+        part = df.where(F.shiftrightunsigned(shifted, low + 16) == prefix) if r else df
+        counts = {x.d: x["count"] for x in part.groupBy(F.shiftrightunsigned(shifted, low).bitwiseAND(F.lit(65535)).alias("d")).count().collect()}
         for d in sorted(counts, reverse=True):
             if k <= counts[d]:
                 prefix = prefix * 65536 + d
@@ -111,10 +118,10 @@ def kth_largest(df: DataFrame, value: str, k: int) -> int | None:
             k -= counts[d]
         else:
             return None
-    return prefix - (1 << 62)
+    return prefix - (1 << 63)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = 0.85, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000, scale: float = 100.0, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float = 0.85, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000, temper: float = 1.0, seed: int = 1) -> DataFrame:
     """(key, n_grams, log_weight, sample_key, kept) for every row; ``kept`` marks the round(share * rows) largest sample keys."""
     from tessella.llm.base import written
 
@@ -129,7 +136,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = 0.85, key: str =
             for value in strings(batch, "__text"):
                 g = table.grams(value)
                 n.append(len(g))
-                w.append(float(ratios[g].mean() * scale) if len(g) else 0.0)
+                w.append(float(ratios[g].sum() * temper))
             return pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(w, pa.float64())], [key, "n_grams", "log_weight"])
 
         return step

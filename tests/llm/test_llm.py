@@ -388,6 +388,39 @@ def test_importance_threshold_is_exact(spark):
     assert importance.kth_largest(df, "v", 501) is None
 
 
+def test_digits_order_as_doubles_do(spark):
+    rng = np.random.default_rng(9)
+    values = sorted({0.0, 1.0, -1.0, 1 - 2**-53, 1 + 2**-52, 2 - 2**-52, 2.0, 3e-300, -3e-300, 1e300, *rng.normal(0, 1, 300).tolist(), *(rng.normal(0, 1, 300) * 10.0 ** rng.integers(-30, 30, 300)).tolist()})
+    got = [r.d for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", importance.digits(F.col("v")).alias("d")).orderBy("v").collect()]
+    assert all(a < b for a, b in zip(got, got[1:], strict=False))
+
+
+def test_resampling_by_brute_force(spark):
+    """Log weights and the chosen set, from n-gram counts in plain Python; and equal weights are drawn equally often."""
+    rng = np.random.default_rng(10)
+    values = [" ".join(rng.choice(WORDS, int(rng.integers(1, 60)))) for _ in range(60)] + [None, "", "Alpha  alpha\nBETA", "long " * 20_000] + ["alpha beta"] * 3
+    good = set(range(0, 40, 3)) | {61}
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in range(1, 40, 3)] + [(2, None), (None, 1), (999, 1)], "doc_id long, quality int")
+    table = importance.Hashes()
+    grams = [Counter(table.grams(v or "").tolist()) for v in values]
+    raw, target = np.ones(importance.BUCKETS), np.ones(importance.BUCKETS)
+    for i, g in enumerate(grams):
+        for b, n in g.items():
+            raw[b] += n
+            target[b] += n * (i in good)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    df = texts(spark, values, kept=1, n_grams=2)
+    out = {r.doc_id: r for r in importance.resample(df, labels, share=0.4).collect()}
+    for i, g in enumerate(grams):
+        assert out[i].n_grams == sum(g.values()) and out[i].log_weight == pytest.approx(sum(n * ratio[b] for b, n in g.items()), rel=1e-9, abs=1e-9)
+    noise = {r.doc_id: r.g for r in df.select("doc_id", importance.gumbel(F.col("doc_id"), 1).alias("g")).collect()}
+    order = sorted(out, key=lambda i: -(out[i].log_weight + noise[i]))
+    assert {i for i in out if out[i].kept} == set(order[: round(0.4 * len(values))])
+    same = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("alpha").alias("text"))
+    shares = [importance.resample(same, labels, share=0.3, seed=s).agg(F.avg(F.col("kept").cast("int")), F.avg(F.when(F.col("doc_id") < 1000, F.col("kept").cast("int")))).first() for s in (1, 2)]
+    assert all(abs(x - 0.3) < 0.001 and abs(y - 0.3) < 0.05 for x, y in shares)
+
+
 def test_importance_prefers_target(spark):
     good, bad = [" ".join(WORDS[:10]) + f" {i}" for i in range(30)], [" ".join(WORDS[10:]) + f" {i}" for i in range(30)]
     df = texts(spark, [*good, *bad, None, ""])
