@@ -11,13 +11,15 @@ WAV file (``store``). ``features`` reads the stored bytes back and computes:
   the upper threshold and closes when it falls below the lower one.
 
 Log-mel frames are cut into blocks of one fixed shape, stored as an Arrow
-fixed-shape tensor column with a time span for each block (IPC bytes, see
-``tensors``), the last block padded with the floor value.
+fixed-shape tensor column with a time span for each block (as IPC bytes, see
+``tensors``, since Spark's tables have no type of fixed shape), the last block
+padded with the floor value.
 
 Defined results: null or empty payload gives an empty clip (header only), no
 block and no segment; equal bytes give equal values; long clips are framed in
 pieces, so memory is a small multiple of one clip; repeated rows and null keys
-pass through; an empty table gives an empty table.
+pass through; columns other than the key, the payload and those in ``keep`` are
+left out, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Struc
 
 from tessella.llm.base import map_batches
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16_000, 2, 3, 16
 FRAME, HOP, MELS, BLOCK = 256, 128, 20, 32
 FLOOR = np.float32(-12.0)
 HEADER = 44
