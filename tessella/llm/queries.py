@@ -17,6 +17,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document, by ``bpe.encode`` and ``bpe.decode``."""
     from tessella.llm import bpe
 
     path = vocabulary()
@@ -30,6 +31,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, by ``packing.pack``."""
     from tessella.llm import packing
 
     pieces = packing.pack(read(spark, sf_dir, "documents"), vocabulary())
@@ -39,6 +41,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, sample key and verdict of every document, by ``importance.resample``."""
     from tessella.llm import importance
 
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -52,6 +55,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every text as a clip, by ``audio.features``; bytes 0 fill up to a positive multiple of 64."""
     from tessella.llm import audio
 
     body = F.coalesce("text", F.lit("")).cast("binary")
@@ -73,18 +77,21 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, by ``jaccard.classes``."""
     from tessella.llm import jaccard
 
     return jaccard.classes(read(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without boilerplate lines, by ``lines.dedup`` with ``source`` as host."""
     from tessella.llm import lines
 
     return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture with the list entry in force, by ``urls.evaluate``; captures and list follow from the pages."""
     from tessella.llm import urls
 
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -94,13 +101,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import toxicity
 
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Scores of all documents; rows without an id are not held out."""
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held))
     return toxicity.score(docs, machine).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture with its full response, by ``warc.resolve``; captures follow from the pages."""
     from tessella.llm import warc
 
     done = warc.resolve(warc.demo_captures(read(spark, sf_dir, "pages").select("page_id", "url")))

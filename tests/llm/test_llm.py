@@ -160,6 +160,30 @@ def test_audio_is_lossless_and_deterministic(spark):
     assert (got[3].tensors, got[3].spans) == (got[4].tensors, got[4].spans)
 
 
+def test_audio_features_by_brute_force(spark):
+    """Log-mel frames by plain sums over the resampled clip; spans in seconds; clashing columns; an empty table."""
+    t = np.arange(6000)
+    loud = 127 + 100 * np.sin(t / 5) * ((t > 2000) & (t < 4000))
+    df = spark.createDataFrame([(1, bytes(loud.astype(np.uint8).tolist()), "a", 2)], "doc_id long, payload binary, frames string, tensors int")
+    r = audio.features(df).first()
+    rate = audio.RATE * audio.UP / audio.DOWN
+    assert audio.UP > 1 and audio.DOWN > 1  # more than one branch is in use
+    y = audio.resample((loud.astype(np.uint8).astype(np.float32) - 128) / 128).astype(float)
+    assert len(y) == -(-6000 * audio.UP // audio.DOWN)
+    filters, window = audio.mel_filters(rate), np.hanning(audio.FRAME)
+    whole = np.concatenate([y, np.zeros(audio.FRAME)])
+    got = np.concatenate(list(audio.tensors(bytes(r.tensors)).column("log_mel").combine_chunks().to_numpy_ndarray()))
+    for f in range(0, r.frames, 5):
+        frame = whole[f * audio.HOP : f * audio.HOP + audio.FRAME] * window
+        power = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FRAME))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        assert np.allclose(got[f], np.log(np.maximum(np.array(power) @ filters, np.exp(float(audio.FLOOR)))), atol=2e-2)
+    (span,) = r.spans
+    assert abs(span.start - 2000 / audio.RATE) < 0.03 and abs(span.end - 4000 / audio.RATE) < 0.03
+    starts = audio.tensors(bytes(r.tensors)).column("start").to_pylist()
+    assert np.allclose(np.diff(starts), audio.BLOCK * audio.HOP / rate)
+    assert audio.features(df.limit(0)).count() == 0
+
+
 def test_polyphase_is_the_plain_filter():
     x = np.random.default_rng(2).normal(size=101).astype(np.float32)
     for up, down in ((1, 2), (2, 3), (3, 1), (3, 2)):
@@ -335,12 +359,37 @@ def test_revisits(spark):
         (7, None, 5, 304, None),
         (8, "http://c.com", 1, 200, h(Last_Modified="m")),
         (9, "http://c.com", 9, 304, h(Last_Modified="m", Content_Type="t")),
+        (10, "http://d.com", 1, 200, h(ETag='"4"')),
+        (11, "http://d.com", 2, 404, h(ETag='"5"')),
+        (12, "http://d.com", 3, 206, h(ETag='"5"')),
+        (13, "http://d.com", 4, None, h(ETag='"5"')),
+        (14, "http://d.com", 5, 304, h(ETag='"4"')),
+        (15, "http://e.com", 7, 200, h(ETag='"6"')),
+        (16, "http://e.com", 7, 304, h(ETag='"6"')),
+        (17, "http://e.com", 7, 200, h(ETag='"7"')),
+        (18, "http://e.com", 7, 304, [("ETag", '"7"'), (None, "x"), ("X", None)]),
     ]
     df = spark.createDataFrame(rows, "capture_id int, url string, t int, status int, headers array<struct<name:string,value:string>>").withColumn("fetched_at", F.timestamp_seconds("t")).drop("t")
     got = {r.capture_id: r for r in warc.resolve(df).collect()}
-    assert {k: (r.resolution, r.source_key) for k, r in got.items()} == {1: ("full", None), 2: ("resolved", 1), 3: ("full", None), 4: ("mismatch", 3), 5: ("orphan", None), 6: ("unverified", 3), 7: ("invalid", None), 8: ("full", None), 9: ("resolved", 8)}
+    assert {k: (r.resolution, r.source_key) for k, r in got.items()} == {1: ("full", None), 2: ("resolved", 1), 3: ("full", None), 4: ("mismatch", 3), 5: ("orphan", None), 6: ("unverified", 3), 7: ("invalid", None), 8: ("full", None), 9: ("resolved", 8),
+        10: ("full", None), 11: ("other", None), 12: ("other", None), 13: ("other", None), 14: ("resolved", 10), 15: ("full", None), 16: ("resolved", 15), 17: ("full", None), 18: ("resolved", 17)}
     assert sorted(tuple(x) for x in got[2].headers) == [("Age", "3"), ("Content-Length", "9"), ("Date", "d2"), ("etag", 'W/"1"')]
     assert warc.resolve(df.limit(0)).count() == 0
+    again = warc.resolve(df.unionByName(df.where("capture_id in (2, 11)")).withColumns({"k": F.lit(1), "src": F.lit("x"), "resolution": F.lit(3)}))
+    assert sorted((r.capture_id, r.resolution) for r in again.collect()) == sorted([(k, r.resolution) for k, r in got.items()] + [(2, "resolved"), (11, "other")])
+
+
+def test_revisits_by_brute_force(spark, monkeypatch):
+    """Several full responses a URL, ties in time, few spans: the latest earlier full response by scanning all."""
+    monkeypatch.setattr(warc, "BUCKETS", 3)
+    rng = np.random.default_rng(13)
+    rows = [(i, f"http://h/{rng.integers(3)}", int(rng.integers(25)), int(rng.choice([200, 304, 304, 404])), [("ETag", str(rng.integers(3)))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "capture_id int, url string, t int, status int, headers array<struct<name:string,value:string>>").withColumn("fetched_at", F.timestamp_seconds("t")).drop("t")
+    got = {r.capture_id: (r.resolution, r.source_key) for r in warc.resolve(df).collect()}
+    for k, u, t, s, h in rows:
+        before = max(((x[2], x[0], x[4]) for x in rows if x[1] == u and x[3] == 200 and (x[2], x[0]) < (t, k)), default=None)
+        want = ("full", None) if s == 200 else ("other", None) if s == 404 else ("orphan", None) if before is None else ("resolved" if before[2] == h else "mismatch", before[1])
+        assert got[k] == want
 
 
 def test_toxicity_learns_interactions_and_holds_out():
