@@ -151,12 +151,28 @@ def locations(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return rows.select(key, "n", (before - F.col("__e.size")).alias("start"), F.col("__e.size").alias("length"))
 
 
-def sub(s, pattern: str, replacement: str) -> Column:
-    return F.regexp_replace(col(s), pattern, replacement)
-
-
-def subn(s, pattern: str, replacement: str) -> Column:
-    return F.struct(sub(s, pattern, replacement).alias("text"), count_matches(s, pattern).alias("n"))
+def sub(s, pattern: str, replacement: str, count: int = 0) -> Column:
+    """Replace all matches, or the first ``count``; groups are written $1."""
+    if not count:
+        return F.regexp_replace(col(s), pattern, replacement)
+    parts = F.split(F.regexp_replace(col(s), pattern, f"\ufdd0$0\ufdd1{replacement}\ufdd2"), "\ufdd0", -1)
+    before, behind = lambda x, mark: F.substring_index(x, mark, 1), lambda x, mark: F.substr(x, F.instr(x, mark) + 1)
+    chosen = lambda x, i: F.when(i < count, before(behind(x, "\ufdd1"), "\ufdd2")).otherwise(before(x, "\ufdd1"))
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.concat(chosen(x, i), behind(x, "\ufdd2")))
+    return F.concat(F.get(parts, 0), F.array_join(rest, ""))
+
+
+def subn(s, pattern: str, replacement: str, count: int = 0) -> Column:
+    n = count_matches(s, pattern)
+    return F.struct(sub(s, pattern, replacement, count).alias("text"), (F.least(n, F.lit(count)) if count else n).alias("n"))
+
+
+def find_match(s, pattern: str, kind: str = "search") -> Column:
+    """struct<start, end, text> of the first match ('search'), of one at the start ('match') or of the whole text ('fullmatch'); NULL without one."""
+    anchored = {"search": pattern, "match": f"^(?:{pattern})", "fullmatch": f"^(?:{pattern})$"}[kind]
+    first = F.get(_matches(s, anchored), 0)
+    span = F.struct(first["gap"].alias("start"), (first["gap"] + first["size"]).alias("end"), F.substr(col(s), first["gap"] + 1, first["size"]).alias("text"))
+    return F.when(first.isNotNull(), span)
 
 
 def split(s, delimiter: str, regex: bool = False) -> Column:

@@ -97,9 +97,32 @@ def components(us) -> dict[str, Column]:
     }
 
 
-def date_range(spark: SparkSession, start: str, periods: int, freq: str = "d") -> DataFrame:
-    """(pos, t), made in the executors."""
-    begin = F.unix_micros(F.lit(start).cast("timestamp"))
+def date_range(spark: SparkSession, start: str | None = None, periods: int | None = None, freq: str = "d", end: str | None = None, tz: str | None = None, normalize: bool = False, inclusive: str = "both") -> DataFrame:
+    """(pos, t), made in the executors: two of start, periods and end.
+
+    ``tz`` is the zone in which start and end are meant (the session's by
+    default), ``normalize`` takes their midnights, and ``inclusive`` ('both',
+    'left', 'right', 'neither') says which of the two may be among the times.
+    """
+    import pandas as pd
+
+    if sum(x is not None for x in (start, periods, end)) != 2:
+        raise ValueError("two of start, periods and end")
+    zone, step = tz or spark.conf.get("spark.sql.session.timeZone"), _step(freq)
+    ends = [pd.Timestamp(x) if x is not None else None for x in (start, end)]
+    ends = [x.tz_localize(zone) if x is not None and x.tz is None else x for x in ends]
+    low, high = ((x.normalize() if normalize else x).value // 1000 if x is not None else None for x in ends)
+    if low is None:
+        low = high - (periods - 1) * step
+    elif periods is None:
+        periods = max(0, (high - low) // step + 1)
+    if high is None:
+        high = low + (periods - 1) * step
+    if periods and inclusive in ("right", "neither"):
+        low, periods = low + step, periods - 1
+    if periods and inclusive in ("left", "neither") and low + (periods - 1) * step == high:
+        periods -= 1
+    begin = F.lit(low)
     return spark.range(periods).select(F.col("id").alias("pos"), F.timestamp_micros(begin + F.col("id") * _step(freq)).alias("t"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import groupby as g
 from tessella.operators import joins, position, sets, stats
+from tessella.operators.labels import Index, MultiIndex  # noqa: F401  (part of this vocabulary)
 
 
 class Frame:
@@ -216,10 +217,31 @@ class Groups:
     def diff(self, column: str) -> DataFrame:
         return position.diff(self.df, self.order, column, partition_by=self.keys)
 
+    def diffs(self, column: str) -> Differences:
+        """Reductions over the differences of consecutive rows."""
+        return Differences(self, column)
+
     def broadcast(self, **asked: tuple) -> DataFrame:
         return g.broadcast_back(self.df, self.keys, asked, self.order)
 
 
+class Differences:
+    """Grouped reductions of differences; the first row of a group has none."""
+
+    def __init__(self, groups: Groups, column: str):
+        self.keys, self.order, self.column = list(groups.keys), list(groups.order), column
+        self.df = position.diff(groups.df, self.order, column, "__diff", self.keys)
+
+    def agg(self, **asked: str) -> DataFrame:
+        """Output name = reduction."""
+        return g.aggregate(self.df, self.keys, {out: (kind, "__diff") for out, kind in asked.items()}, self.order)
+
+    def __getattr__(self, kind: str):
+        if kind.rstrip("_") not in KINDS:
+            raise AttributeError(kind)
+        return lambda: self.agg(**{self.column: kind.rstrip("_")})
+
+
 KINDS = ("sum", "count", "prod", "var", "std", "mean", "median", "min", "max", "argmin", "argmax", "nunique", "any", "all", "or", "and", "xor", "first", "last", "mode", "unique", "skew")
 
 
@@ -345,6 +367,64 @@ class Series:
     def sort_index(self) -> DataFrame:
         return self.df.orderBy(self.index)
 
+    @property
+    def shape(self) -> tuple[int]:
+        return (self.df.count(),)
+
+    @property
+    def size(self) -> int:
+        return self.df.count()
+
+    @property
+    def ndim(self) -> int:
+        return 1
+
+    @property
+    def dtype(self) -> str:
+        return dict(self.df.dtypes)["value"]
+
+    def __len__(self) -> int:
+        return self.df.count()
+
+    def hasnans(self) -> bool:
+        return not self.df.where(_missing("value", self.dtype)).isEmpty()
+
+    def loc(self, labels: DataFrame | Sequence | Column) -> Series:
+        """The rows of some labels (a table's column of the index's name, a list, or a condition), each as often as it stands here."""
+        if isinstance(labels, DataFrame):
+            return Series(self.df.join(labels.select(self.index), self.index, "left_semi"), self.index, self.name)
+        return Series(self.df.where(labels if isinstance(labels, Column) else F.col(self.index).isin(list(labels))), self.index, self.name)
+
+    def set_loc(self, labels: DataFrame | Sequence | Column, value) -> Series:
+        """The series with another value at some labels."""
+        put = lambda here: F.when(here, F.lit(value)).otherwise(F.col("value")).alias("value")
+        if isinstance(labels, DataFrame):
+            marked = labels.select(self.index, F.lit(True).alias("__here")).distinct()
+            return Series(self.df.join(marked, self.index, "left").select(self.index, put(F.col("__here"))), self.index, self.name)
+        return Series(self.df.select(self.index, put(labels if isinstance(labels, Column) else F.col(self.index).isin(list(labels)))), self.index, self.name)
+
+    def at(self, label):
+        """The value of one label; a list where it stands on several rows."""
+        found = [r["value"] for r in self.df.where(F.col(self.index) == F.lit(label)).orderBy("value").limit(1001).collect()]
+        if not found or len(found) > 1000:
+            raise KeyError(label)
+        return found[0] if len(found) == 1 else found
+
+    def iat(self, place: int):
+        """The value at one place in index order."""
+        n = len(self)
+        place = place if place >= 0 else n + place
+        row = self.iloc(place, place + 1).df.first()
+        if row is None:
+            raise IndexError(place)
+        return row["value"]
+
+    def set_iloc(self, start: int, stop: int, value) -> Series:
+        """The series with another value at some places in index order."""
+        numbered = position.with_position(self.df, [self.index], "__pos")
+        here = (F.col("__pos") >= start) & (F.col("__pos") < stop)
+        return Series(numbered.select(self.index, F.when(here, F.lit(value)).otherwise(F.col("value")).alias("value")), self.index, self.name)
+
     def locate(self, labels: Sequence) -> Series:
         return Series(self.df.where(F.col(self.index).isin(list(labels))), self.index, self.name)
 
@@ -356,29 +436,3 @@ class Series:
 
     def concat(self, *others: Series) -> Series:
         return Series(sets.concatenate(self.df, *[o.df for o in others]), self.index, self.name)
-
-
-class MultiIndex:
-    """Several label columns."""
-
-    def __init__(self, df: DataFrame, names: Sequence[str]):
-        self.df, self.names = df.select(*names), list(names)
-
-    @property
-    def nlevels(self) -> int:
-        return len(self.names)
-
-    def get_level_values(self, level: int | str) -> DataFrame:
-        return self.df.select(self.names[level] if isinstance(level, int) else level)
-
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        return joins.isin(self.df, keys, self.names)
-
-    def concat(self, other: MultiIndex) -> MultiIndex:
-        return MultiIndex(self.df.unionByName(other.df), self.names)
-
-    def is_unique(self) -> bool:
-        return self.df.groupBy(*self.names).count().where("count > 1").isEmpty()
-
-    def argsort(self) -> DataFrame:
-        return position.with_position(self.df, self.names, "rank")

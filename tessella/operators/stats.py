@@ -97,6 +97,46 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float], method: str = "li
     return asked.join(a, "lo").join(b, "hi").select("q", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("w")).alias("value"))
 
 
+def _grouped_place(n: Column, q: float, method: str) -> tuple[Column, Column, Column]:
+    """``quantile_place`` for a column of sizes."""
+    if method in CONTINUOUS:
+        a, b = CONTINUOUS[method]
+        h = n * q + (a + q * (1 - a - b) - 1)
+        low, up, weight = F.floor(h), F.floor(h) + 1, F.when((h < 0) | (h >= n - 1), 0.0).otherwise(h - F.floor(h))
+    else:
+        h = (n - 1) * q
+        half = h - F.floor(h)
+        near = F.floor(h) + ((half > 0.5) | ((half == 0.5) & (F.floor(h) % 2 == 1))).cast("int")
+        places = {"lower": (F.floor(h), F.floor(h), 0.0), "higher": (F.ceil(h), F.ceil(h), 0.0), "midpoint": (F.floor(h), F.ceil(h), 0.5), "nearest": (near, near, 0.0)}
+        if method not in places:
+            raise ValueError(f"method {method!r} is for whole columns")
+        low, up, weight = places[method]
+    keep = lambda c: F.least(F.greatest(c.cast("long"), F.lit(0)), n - 1)
+    return keep(low), keep(up), F.lit(weight) if isinstance(weight, float) else weight
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Sequence[float], method: str = "linear") -> DataFrame:
+    """(keys, q, value): exact quantiles of every group, as along an axis of an array whose other axes are the keys.
+
+    Equal values are counted first; one running count over (keys, value) then
+    places every distinct value in its group, so no group is gathered.
+    """
+    from tessella.operators.position import running
+
+    clean = df.select(*keys, F.col(column).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    counted = running(clean.groupBy(*keys, "__v").agg(F.count("*").alias("__c")), [*keys, "__v"], F.col("__c"), "__upto")
+    sizes = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.min(F.col("__upto") - F.col("__c")).alias("__before"))
+    other = sizes.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    met = counted.join(other, same).withColumn("__upto", F.col("__upto") - F.col("__before"))
+    holds = lambda place: (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__c"))
+    asked = [(q, *_grouped_place(F.col("__n"), q, method)) for q in qs]
+    rows = F.array(*[F.struct(F.lit(float(q)).alias("q"), (F.when(holds(lo), 1 - w).otherwise(0.0) + F.when(holds(up), w).otherwise(0.0)).alias("w"), (holds(lo) | holds(up)).alias("in")) for q, lo, up, w in asked])
+    shares = met.select(*keys, "__v", F.explode(F.filter(rows, lambda x: x["in"])).alias("__a")).select(*keys, "__v", "__a.q", "__a.w")
+    low, high = F.min("__v"), F.max("__v")
+    return shares.groupBy(*keys, "q").agg(F.when(low == high, low).otherwise(low + (high - low) * F.max_by("w", "__v")).alias("value"))
+
+
 def cov_corr(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, cov, corr) of all pairs of columns, in one aggregation."""
     pairs = [(a, b) for a in columns for b in columns]
