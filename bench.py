@@ -10,8 +10,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "q_pricing_summary", "q_group_all_reductions", "q_merge_inner", "q_merge_outer", "q_inner_join_where", "q_join_dt_abs", "q_interval_lookup", "q_argsort", "q_coargsort", "q_topk", "q_gather", "q_scatter",
-    "q_cumsum", "q_group_diff", "q_set_union", "q_set_intersect_2col", "q_in1d_two_columns", "q_histogram", "q_quantile_linear", "q_cov_corr", "q_strings", "q_regex", "q_bits", "q_ragged_reductions", "q_gram", "q_whole_reductions",
+    "q_pricing_summary", "q_group_all_reductions", "q_merge_inner_whole", "q_merge_outer_whole", "q_inner_join_where", "q_join_dt_abs", "q_interval_lookup", "q_argsort", "q_coargsort", "q_topk", "q_gather_whole", "q_scatter",
+    "q_cumsum", "q_group_diff", "q_set_union_whole", "q_set_intersect_2col", "q_in1d_two_columns", "q_histogram", "q_quantile_linear", "q_cov_corr", "q_strings", "q_regex", "q_bits", "q_ragged_reductions", "q_gram", "q_whole_reductions",
 )
 
 

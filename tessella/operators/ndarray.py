@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.create import broadcast_shapes
@@ -208,6 +208,77 @@ class NDArray:
     def unique_counts(self) -> DataFrame:
         return self.df.groupBy("v").count()
 
+    def unique_all(self) -> tuple[DataFrame, NDArray]:
+        """(v, code, first flat position, count) of every distinct value, and the array of codes."""
+        from tessella.operators.position import with_position
+
+        flat = self.df.withColumn("__flat", self.flat())
+        kinds = with_position(flat.groupBy("v").agg(F.min("__flat").alias("first"), F.count("*").alias("n")), ["v"], "code")
+        return kinds, NDArray(self.df.join(kinds.select("v", "code"), "v").select(*self.axes, F.col("code").alias("v")), self.shape)
+
+    def unique_inverse(self) -> tuple[DataFrame, NDArray]:
+        kinds, codes = self.unique_all()
+        return kinds.select("v", "code"), codes
+
+    def _cumulative(self, agg: Callable[[Column], Column], unit: float, join: Callable[[Column, Column], Column], axis: int, initial: bool, block: int = 1 << 16) -> NDArray:
+        """Two levels: within blocks of an axis, and over the totals of its blocks."""
+        i = f"i{axis % self.ndim}"
+        rest = [a for a in self.axes if a != i]
+        cut = self.df.withColumn("__b", F.floor(F.col(i) / block))
+        totals = cut.groupBy(*rest, "__b").agg(agg(F.col("v")).alias("__t"))
+        before = Window.partitionBy(*rest).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select(*rest, "__b", F.coalesce(agg(F.col("__t")).over(before), F.lit(unit)).alias("__c"))
+        inside = Window.partitionBy(*rest, "__b").orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
+        done = cut.withColumn("__own", agg(F.col("v")).over(inside)).join(carry, [*rest, "__b"]).select(*self.axes, join(F.col("__own"), F.col("__c")).alias("v"))
+        shape = list(self.shape)
+        if initial:
+            shape[axis % self.ndim] += 1
+            first = self.df.select(*rest).distinct() if rest else self.df.sparkSession.range(1).select()
+            done = done.withColumn(i, F.col(i) + 1).unionByName(first.withColumns({i: F.lit(0).cast("long"), "v": F.lit(unit)}), allowMissingColumns=False)
+        return NDArray(done, shape)
+
+    def cumulative_sum(self, axis: int = 0, include_initial: bool = False) -> NDArray:
+        return self._cumulative(F.sum, 0.0, lambda own, c: own + c, axis, include_initial)
+
+    def cumulative_prod(self, axis: int = 0, include_initial: bool = False) -> NDArray:
+        return self._cumulative(F.product, 1.0, lambda own, c: own * c, axis, include_initial)
+
+    def pad(self, widths: Sequence[tuple[int, int]], value=0.0) -> NDArray:
+        """Another value around the array: (before, behind) of every axis."""
+        shape = [n + a + b for n, (a, b) in zip(self.shape, widths, strict=True)]
+        whole = NDArray.from_function(self.df.sparkSession, shape, lambda *_: F.lit(None).cast("boolean")).df.drop("v")
+        moved = self.df.select(*[(F.col(x) + a).alias(x) for x, (a, _) in zip(self.axes, widths, strict=True)], "v", F.lit(True).alias("__own"))
+        return NDArray(whole.join(moved, self.axes, "left").select(*self.axes, F.when(F.col("__own"), F.col("v")).otherwise(F.lit(value)).alias("v")), shape)
+
+    def unstack(self, axis: int = 0) -> list[NDArray]:
+        """The slices along an axis, each without it."""
+        i, rest = f"i{axis % self.ndim}", [a for a in self.axes if a != f"i{axis % self.ndim}"]
+        names = [F.col(a).alias(f"i{k}") for k, a in enumerate(rest)]
+        shape = [n for k, n in enumerate(self.shape) if k != axis % self.ndim]
+        return [NDArray(self.df.where(F.col(i) == k).select(*names, "v"), shape) for k in range(self.shape[axis % self.ndim])]
+
+    def take_indices(self, indices: DataFrame, axis: int, count: int) -> NDArray:
+        """The slices that a table (at, index) asks for, ``count`` of them; one may be asked for several times."""
+        i = f"i{axis % self.ndim}"
+        asked = indices.select(F.col("at").alias("__at"), F.col("index").alias(i))
+        shape = list(self.shape)
+        shape[axis % self.ndim] = count
+        return NDArray(self.df.join(asked, i).select(*[F.col("__at").alias(i) if a == i else F.col(a) for a in self.axes], "v"), shape)
+
+    def quantile(self, q: float, axis: int, method: str = "linear", keepdims: bool = False) -> NDArray:
+        """An exact quantile along an axis."""
+        from tessella.operators.stats import grouped_quantiles
+
+        gone = axis % self.ndim
+        rest = [a for a in self.axes if a != f"i{gone}"]
+        done = grouped_quantiles(self.df, rest, "v", [q], method)
+        if keepdims:
+            return NDArray(done.select(*[F.lit(0).cast("long").alias(a) if a == f"i{gone}" else F.col(a) for a in self.axes], F.col("value").alias("v")), [1 if k == gone else n for k, n in enumerate(self.shape)])
+        return NDArray(done.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(rest)], F.col("value").alias("v")), [n for k, n in enumerate(self.shape) if k != gone])
+
+    def median(self, axis: int, keepdims: bool = False) -> NDArray:
+        return self.quantile(0.5, axis, "linear", keepdims)
+
     def sort(self) -> NDArray:
         """A vector in order."""
         from tessella.operators.position import with_position
@@ -224,3 +295,14 @@ class NDArray:
         for *at, v in self.df.select(*self.axes, "v").collect():
             out[tuple(at)] = v
         return out
+
+
+def meshgrid(*vectors: NDArray, indexing: str = "xy") -> list[NDArray]:
+    """The coordinates of the grid that the vectors span; with 'xy' the first two axes change places."""
+    axes = list(range(len(vectors)))
+    if indexing == "xy" and len(axes) > 1:
+        axes[0], axes[1] = 1, 0
+    shape = [0] * len(vectors)
+    for k, x in zip(axes, vectors, strict=True):
+        shape[k] = x.shape[0]
+    return [x.reshape(*[x.shape[0] if j == k else 1 for j in range(len(vectors))]).broadcast_to(shape) for k, x in zip(axes, vectors, strict=True)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import labels, relational, scalar, statistics  # noqa: F401  (they register themselves)
+from tessella.plans import arrays, labels, relational, scalar, statistics  # noqa: F401  (they register themselves)
 from tessella.plans.registry import ORACLE, QUERIES, Query
 
 

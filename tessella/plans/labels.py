@@ -26,9 +26,9 @@ def q_index_lookup(spark, d):
     return labels.index(table(spark, d, "orders"), "o_custkey", ["o_orderkey"]).lookup(poor)
 
 
-@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, n_name AS c_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, n_name AS c_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_name < 'M'")
 def q_index_map(spark, d):
-    names = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    names = table(spark, d, "nation").where("n_name < 'M'").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
     return labels.index(table(spark, d, "customer"), "c_nationkey", ["c_custkey"]).map(names).to_frame()
 
 
@@ -81,11 +81,11 @@ def q_date_range_to_end(spark, d):
     return times.date_range(spark, "2024-02-27 15:30:00", freq="7h", end="2024-03-05", normalize=True, inclusive="right")
 
 
-@query("SELECT event_id, value, event_id % 3 = 0 AS set, CASE WHEN event_id % 3 = 0 THEN -1 ELSE value END AS after FROM events WHERE event_id % 5 < 3")
+@query("SELECT event_id, value, CASE WHEN event_type = 'click' THEN -1 ELSE value END AS after FROM events WHERE value > 20")
 def q_series_loc(spark, d):
     """Labels by a table, and assignment at labels."""
     events = table(spark, d, "events")
     s = frame.Frame(events.select("event_id", "value"), "event_id")["value"]
-    some = s.loc(events.where("event_id % 5 < 3").select("event_id"))
-    new = some.set_loc(events.where("event_id % 3 = 0").select("event_id"), -1.0)
-    return some.df.join(new.df.withColumnRenamed("value", "after"), "event_id").select("event_id", "value", (F.col("event_id") % 3 == 0).alias("set"), "after")
+    some = s.loc(events.where("value > 20").select("event_id"))
+    new = some.set_loc(events.where("event_type = 'click'").select("event_id"), -1.0)
+    return some.df.join(new.df.withColumnRenamed("value", "after"), "event_id").select("event_id", "value", "after")

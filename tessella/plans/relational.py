@@ -85,35 +85,6 @@ def q_whole_reductions(spark, d):
     return out.select("n", F.round("s", 2).alias("s"), F.round("mean", 4).alias("mean"), "hi", "lo", F.round("std", 6).alias("std"), "supp")
 
 
-def _sides(spark, d):
-    left = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("bal")).where("key % 3 <> 0")
-    right = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("n"), F.col("s_name").alias("name")).where("key % 2 = 0")
-    return left, right
-
-
-SIDES = "WITH l AS (SELECT c_custkey AS key, c_nationkey AS n, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT s_suppkey AS key, s_nationkey AS n, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0) "
-
-
-@query(SIDES + "SELECT key, l.n AS n_x, bal, r.n AS n_y, name FROM l JOIN r USING (key)")
-def q_merge_inner(spark, d):
-    return joins.merge(*_sides(spark, d), on="key")
-
-
-@query(SIDES + "SELECT key, l.n AS n_x, bal, CAST(r.n AS DOUBLE) AS n_y, name FROM l LEFT JOIN r USING (key)")
-def q_merge_left(spark, d):
-    return joins.merge(*_sides(spark, d), on="key", how="left")
-
-
-@query(SIDES + "SELECT key, CAST(l.n AS DOUBLE) AS n_x, bal, r.n AS n_y, name FROM l RIGHT JOIN r USING (key)")
-def q_merge_right(spark, d):
-    return joins.merge(*_sides(spark, d), on="key", how="right")
-
-
-@query(SIDES + "SELECT key, CAST(l.n AS DOUBLE) AS n_x, bal, CAST(r.n AS DOUBLE) AS n_y, name FROM l FULL JOIN r USING (key)")
-def q_merge_outer(spark, d):
-    return joins.merge(*_sides(spark, d), on="key", how="outer")
-
-
 def _whole_sides(spark, d):
     """Whole tables; some events have no lines, some lines no event."""
     left = table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("n"), "value")
@@ -191,12 +162,6 @@ def q_join_dt_pos(spark, d):
     return _dt(spark, d, "pos_dt")
 
 
-@query("SELECT c_custkey, coalesce(CAST(n_regionkey AS BIGINT), -1) AS region FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
-def q_lookup(spark, d):
-    keys = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("region"))
-    return joins.lookup(table(spark, d, "customer").select("c_custkey", "c_nationkey"), keys, ["c_nationkey"], "region", F.lit(-1).cast("long")).select("c_custkey", "region")
-
-
 @query("SELECT doc_id, coalesce(CAST(quality AS BIGINT), -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def q_lookup_whole(spark, d):
     """Labels cover some of the documents."""
@@ -216,31 +181,6 @@ def q_find_first(spark, d):
     return joins.find(df, df, ["c_nationkey"], "c_custkey")
 
 
-@query("SELECT s_suppkey AS v FROM supplier UNION SELECT p_partkey FROM part WHERE p_partkey < 500")
-def q_set_union(spark, d):
-    return sets.union(*_ids(spark, d))
-
-
-def _ids(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("v")), table(spark, d, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("v"))
-
-
-@query("SELECT s_suppkey AS v FROM supplier INTERSECT SELECT p_partkey FROM part WHERE p_partkey < 500")
-def q_set_intersect(spark, d):
-    return sets.intersect(*_ids(spark, d))
-
-
-@query("SELECT p_partkey AS v FROM part WHERE p_partkey < 500 EXCEPT SELECT s_suppkey FROM supplier")
-def q_set_diff(spark, d):
-    a, b = _ids(spark, d)
-    return sets.setdiff(b, a)
-
-
-@query("(SELECT s_suppkey AS v FROM supplier EXCEPT SELECT p_partkey FROM part WHERE p_partkey < 500) UNION (SELECT p_partkey FROM part WHERE p_partkey < 500 EXCEPT SELECT s_suppkey FROM supplier)")
-def q_set_xor(spark, d):
-    return sets.setxor(*_ids(spark, d))
-
-
 PRICES, LINE_PRICES = "SELECT o_totalprice AS v FROM orders", "SELECT l_extendedprice AS v FROM lineitem"
 
 
@@ -339,13 +279,6 @@ def q_is_sorted(spark, d):
     return position.is_sorted(table(spark, d, "events"), ["event_id"], "event_id")
 
 
-@query("WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) SELECT CAST(i AS BIGINT) AS index, o_orderkey, o_totalprice FROM range(0, 1000) r(i) JOIN n ON n.pos = (i * 7) % 1000")
-def q_gather(spark, d):
-    df = position.with_position(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
-    asked = spark.range(1000).select(F.col("id").alias("n"), (F.col("id") * 7 % 1000).alias("index"))
-    return position.gather(df, asked).select(F.col("n").alias("index"), "o_orderkey", "o_totalprice")
-
-
 @query("SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS index, o_orderkey, o_totalprice FROM orders")
 def q_gather_whole(spark, d):
     """The whole table in the order of another column."""

@@ -33,18 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Only a local session, as in tests, may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` into the folder of ``spark.checkpoint.dir`` (shared by driver and executors) and read it back.
+    """Write ``df`` into the shared folder and read it back.
 
     What follows sees one fixed result, whatever is recomputed, and a lost
-    executor costs a re-read. Where the setting is absent, as in tests on one
-    machine, a temporary folder is used.
+    executor costs a re-read.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}.parquet"
+    path = f"{shared(spark)}/{label}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

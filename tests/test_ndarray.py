@@ -34,3 +34,29 @@ def test_asserters(spark):
     testing.assert_frame_equal(a, a.orderBy(F.desc("id")))
     with pytest.raises(AssertionError):
         testing.assert_frame_equal(a, a.limit(2))
+
+
+def test_cumulative_pad_and_selection_like_numpy(spark):
+    x = np.arange(24, dtype=float).reshape(2, 3, 4) % 7
+    a = NDArray.from_function(spark, (2, 3, 4), lambda i, j, k: ((i * 12 + j * 4 + k) % 7).cast("double"))
+    for axis in (0, 1, 2, -1):
+        assert (a.cumulative_sum(axis).to_numpy() == x.cumsum(axis)).all() and (a.cumulative_prod(axis).to_numpy() == x.cumprod(axis)).all()
+    blocks = a._cumulative(F.sum, 0.0, lambda own, c: own + c, 2, True, block=2)
+    assert (blocks.to_numpy() == np.concatenate([np.zeros((2, 3, 1)), x.cumsum(2)], 2)).all()
+    assert (a.pad([(1, 0), (0, 2), (0, 0)], -1.0).to_numpy() == np.pad(x, [(1, 0), (0, 2), (0, 0)], constant_values=-1)).all()
+    assert all((p.to_numpy() == x[:, k]).all() for k, p in enumerate(a.unstack(1)))
+    asked = spark.createDataFrame([(0, 3), (1, 0), (2, 3)], "at long, index long")
+    assert (a.take_indices(asked, 2, 3).to_numpy() == x[:, :, [3, 0, 3]]).all()
+    assert (a.median(1).to_numpy() == np.median(x, 1)).all() and (a.quantile(0.3, 0, keepdims=True).to_numpy() == pytest.approx(np.quantile(x, 0.3, 0, keepdims=True)))
+    kinds, codes = a.unique_inverse()
+    values, inverse = np.unique(x, return_inverse=True)
+    assert [r.v for r in kinds.orderBy("code").collect()] == values.tolist() and (codes.to_numpy().ravel() == inverse.ravel()).all()
+
+
+def test_meshgrid_like_numpy(spark):
+    from tessella.operators.ndarray import meshgrid
+
+    vectors = [NDArray.arange(spark, 3), NDArray.arange(spark, 2), NDArray.arange(spark, 4)]
+    for indexing in ("xy", "ij"):
+        for got, want in zip(meshgrid(*vectors, indexing=indexing), np.meshgrid(*map(np.arange, (3, 2, 4)), indexing=indexing), strict=True):
+            assert got.shape == want.shape and (got.to_numpy() == want).all()
