@@ -488,6 +488,52 @@ def test_query_digests(spark, sf_dir, path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
+def test_token_queries_by_the_library(spark, sf_dir, path):
+    """Digests of ids, text and pieces of all documents, recomputed with the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op1_bpe_round_trip(spark, sf_dir).collect()
+    assert {r.doc_id for r in got} == set(ids) and len(got) == len(ids)
+    for r in got:
+        want = ids[r.doc_id]
+        digest = hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), digest, hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest())
+    seen, places = defaultdict(int), defaultdict(list)
+    for r in queries.op7_packing(spark, sf_dir).collect():
+        whole = [*ids[r.doc_id], 2]
+        assert r.doc_tokens == len(whole) and r.ids_crc32 == zlib.crc32(np.array(whole[r.start : r.start + r.length], "<u4").tobytes())
+        seen[r.doc_id] += r.length
+        places[r.sequence_id].append((r.offset, r.length))
+    assert seen == {k: len(v) + 1 for k, v in ids.items()}
+    for parts in places.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(parts)])
+        assert [at for at, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 4096
+
+
+def test_join_query_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    want = brute_components([r.text for r in docs])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op5_ngram_jaccard_join(spark, sf_dir).collect()}
+    assert got == {r.doc_id: (n, docs[at].doc_id) for r, (n, at) in zip(docs, want, strict=True)}
+
+
+def test_machine_by_brute_force():
+    """The logit is the sum over all pairs of terms; training follows the numeric gradient of the loss."""
+    rng = np.random.default_rng(14)
+    w, v = rng.normal(0, 1, 9), rng.normal(0, 1, (9, 4))
+    x = [0, 2, 5, 8]
+    pairs = sum(float(v[i] @ v[j]) for n, i in enumerate(x) for j in x[:n])
+    assert toxicity.Machine(np.arange(9), 0.3, w, v).logit(x) == pytest.approx(0.3 + w[x].sum() + pairs) and toxicity.Machine(np.arange(9), 0.3, w, v).logit([]) == 0.3
+    rows, y = [[0, 1], [0], [1], [2]] * 50, np.array([1.0, 0, 0, 0] * 50)
+    loss = lambda m: float(np.mean([np.logaddexp(0, m.logit(r)) - t * m.logit(r) for r, t in zip(rows, y, strict=True)]))
+    losses = [loss(toxicity.Machine(np.arange(3), *toxicity.train_machine(rows, y, 3, epochs=n))) for n in (0, 1, 5, 40)]
+    assert all(a > b for a, b in zip(losses, losses[1:], strict=False)) and losses[-1] < 0.2
+
+
 def test_pipeline_keeps_its_promises(spark, sf_dir, path):
     import corpus_pipeline
 
