@@ -114,11 +114,15 @@ def train_machine(rows: list[list[int]], y: np.ndarray, n: int, factors: int = 4
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, terms: int = 2048, min_docs: int = 4) -> Machine:
-    """Train on at most ``max_rows`` rows of ``labels`` that ``docs`` has texts for."""
+    """Train on at most ``max_rows`` rows of ``labels`` that ``docs`` has texts for.
+
+    Where an id stands on several texts, the least of them is its text, so that
+    repeated ids don't add to what is collected.
+    """
     picked = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).dropna().groupBy("__k").agg(F.max("__y").alias("__y"))
     picked = picked.join(docs.select(F.col(key).alias("__k")), "__k", "left_semi").orderBy(F.xxhash64("__k"), "__k").limit(max_rows)
     small_batches(docs.sparkSession)
-    known = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(picked), "__k").select("__y", "__text")
+    known = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(picked), "__k").groupBy("__k", "__y").agg(F.min("__text").alias("__text")).select("__y", "__text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sums = Terms(), np.zeros((2, DIMS + 1), np.int64)
