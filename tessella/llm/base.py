@@ -61,6 +61,14 @@ def narrowed(df: DataFrame, *names: str) -> DataFrame:
     return out
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it; Spark tells no case apart."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that are read no more; other frames are left alone."""
     for df in tables:

@@ -61,7 +61,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessella.llm.base import drop, map_batches, small_batches, written
+from tessella.llm.base import drop, free, map_batches, small_batches, written
 from tessella.llm.components import components, composed, roots
 from tessella.llm.shingles import Shingler, fingerprint, mix
 
@@ -520,18 +520,18 @@ def _classes(docs: DataFrame, key: str, text: str, k: int, num: int) -> tuple[Da
     return profile.join(named, "nid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), "nid"), clashes
 
 
-def _with_names(docs: DataFrame, text: str, k: int, clashes: frozenset[int]) -> DataFrame:
-    """``docs`` with ``__nid``, the name of a row's set, null where it is empty."""
+def _with_names(docs: DataFrame, text: str, k: int, clashes: frozenset[int], out: str) -> DataFrame:
+    """``docs`` with column ``out``, the name of a row's set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
             own = [shingler.of(x) for x in batch.column(text).to_pylist()]
             nids = [name(fingerprint(s), clashes) if len(s) else None for s in own]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nids, pa.int64())], [*batch.schema.names, "__nid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nids, pa.int64())], [*batch.schema.names, out])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__nid", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, LongType())]))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75) -> DataFrame:
@@ -550,7 +550,9 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         return left
     mixed = gone.join(done.where(F.col(key) == F.col("component_id")), key, "left_semi")
     if not mixed.isEmpty():
-        told = _with_names(docs.join(mixed, key, "left_semi").select(*names), text, k, clashes)
-        left = left.unionByName(told.join(away.select(key, F.col("nid").alias("__nid")).distinct(), [key, "__nid"], "left_anti").select(*names))
-    named = left.where(F.col(key).isNotNull()).withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicates([key, "__h"]).drop("__h")
+        own = free(docs, "__nid")
+        told = _with_names(docs.join(mixed, key, "left_semi").select(*names), text, k, clashes, own)
+        left = left.unionByName(told.join(away.select(key, F.col("nid").alias(own)).distinct(), [key, own], "left_anti").select(*names))
+    digest = free(docs, "__h")
+    named = left.where(F.col(key).isNotNull()).withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicates([key, digest]).drop(digest)
     return named.unionByName(left.where(F.col(key).isNull()))

@@ -44,11 +44,11 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return over.groupBy("__host").agg(F.sort_array(F.collect_set("__line")).alias("__flagged"))
 
 
-def dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """``docs`` with the text rebuilt, and ``n_lines`` and ``n_dropped`` added (replacing columns of these names)."""
+def dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the text rebuilt, and lines and dropped lines counted in the columns ``counts`` (replacing columns of these names)."""
     flagged = written(boilerplate(docs, host, text, ratio, min_pages), "lines")
     lines = flagged.agg(F.coalesce(F.sum(F.size("__flagged")), F.lit(0))).first()[0]
-    names = [x for x in docs.columns if x not in ("n_lines", "n_dropped")]
+    names = [x for x in docs.columns if x not in counts]
     boxed = docs.select(
         F.struct(*[F.col(f"`{x}`") for x in names if x != text]).alias("__row") if len(names) > 1 else F.struct(F.lit(1)).alias("__row"),
         F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("__host"),
@@ -60,8 +60,8 @@ def dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: floa
     total = F.when(F.col("__text").isNull(), 0).otherwise(F.size(_split(F.col("__text"))))
     return met.select(
         *[F.when(F.col("__kept").isNull(), F.col("__text")).otherwise(F.array_join("__kept", "\n")).alias(x) if x == text else F.col(f"__row.`{x}`").alias(x) for x in names],
-        total.cast("long").alias("n_lines"),
-        F.when(F.col("__kept").isNull(), 0).otherwise(total - F.size("__kept")).cast("long").alias("n_dropped"),
+        total.cast("long").alias(counts[0]),
+        F.when(F.col("__kept").isNull(), 0).otherwise(total - F.size("__kept")).cast("long").alias(counts[1]),
     )
 
 

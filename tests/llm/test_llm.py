@@ -534,6 +534,49 @@ def test_machine_by_brute_force():
     assert all(a > b for a, b in zip(losses, losses[1:], strict=False)) and losses[-1] < 0.2
 
 
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, one id on two texts, and columns named like helpers."""
+    words = [" ".join(WORDS[(i * j + j) % len(WORDS)] + str(j % 7) for j in range(60 + i)) + "." for i in range(6)]
+    rows = [(i, words[i % 6], "en", "s", 1) for i in range(12)]
+    rows += [(12, None, None, None, None), (None, words[0], "en", "s", 1), (None, None, None, None, None), (13, "", "en", None, 0), (14, " \n\t ", "en", "s", 4), (15, "one", "en", "s", 3)]
+    rows += [rows[0]] * 3 + [(1, words[3], "en", "s", 1), (16, "long words stand here. " * 20_000, "en", "s", 0)]
+    clash = ("__toxicity", "__h", "__nid", "__row", "__text", "__key", "score", "kept", "quality", "n_words", "n_lines", "component_id", "ids", "start", "__K")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({x: F.lit(f"own {x}") for x in clash})
+
+
+def test_stages_on_odd_documents(spark, sf_dir, path):
+    docs = odd_documents(spark)
+    before = docs.collect()
+    known = {r.doc_id for r in before}
+    for stage in (stages.quality, stages.toxic, stages.dedup_lines, stages.dedup_documents):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, stage
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= known
+        assert all(r[x] == f"own {x}" for r in rows for x in docs.columns[5:]), stage
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        if stage is stages.quality:
+            assert not [r for r in rows if not r.text or not r.text.strip()]
+        if stage is stages.toxic or stage is stages.dedup_lines:
+            assert len(rows) == len(before)
+        if stage is stages.dedup_documents:
+            assert {(r.doc_id, r.text) for r in rows if r.doc_id in (12, 13, 14, 15, 16)} == {(r.doc_id, r.text) for r in before if r.doc_id in (12, 13, 14, 15, 16)}
+            assert sum(r.doc_id is None for r in rows) == 2 and len({r.text for r in rows if r.doc_id is not None and r.doc_id < 12}) == 6
+    pieces = stages.pack(spark, docs, sf_dir).collect()
+    whole = {}
+    for r in pieces:
+        whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
+    assert whole[12] == whole[13] == 1 and set(whole) == known
+    assert stages.pack(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_toxicity_trains_on_one_text_an_id(spark):
+    df = texts(spark, ["you moron", "fine words"] * 10)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(20)], "doc_id long, toxic int")
+    model, repeated = toxicity.fit(df, labels, min_docs=1), toxicity.fit(df.unionByName(df).unionByName(df.where("doc_id = 0")), labels, min_docs=1)
+    assert np.array_equal(model.buckets, repeated.buckets) and np.array_equal(model.w, repeated.w) and model.w0 == repeated.w0
+
+
 def test_pipeline_keeps_its_promises(spark, sf_dir, path):
     import corpus_pipeline
 
