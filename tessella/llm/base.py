@@ -61,6 +61,19 @@ def narrowed(df: DataFrame, *names: str) -> DataFrame:
     return out
 
 
+#: Rows of a few numbers that may be broadcast; in memory they take some 20 MB.
+FEW = 200_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked to be broadcast by a join if it has few rows, and not to be otherwise.
+
+    Left to itself, the planner goes by the size of compressed files, of which
+    repeated values take next to nothing. rows: not more than so many, if known.
+    """
+    return df.hint("broadcast" if (df.count() if rows is None else rows) <= FEW else "merge")
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it; Spark tells no case apart."""
     taken = {x.lower() for x in df.columns}

@@ -61,7 +61,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessella.llm.base import drop, free, map_batches, small_batches, written
+from tessella.llm.base import drop, free, map_batches, sized, small_batches, written
 from tessella.llm.components import components, composed, roots
 from tessella.llm.shingles import Shingler, fingerprint, mix
 
@@ -78,6 +78,8 @@ SKETCH_WORDS = 16
 SKETCH = tuple(f"s{i}_" for i in range(SKETCH_WORDS))
 #: Members of a large bucket that all its members are compared with.
 HUBS = 2
+#: Buckets of a member that go with each of its rows where large buckets are compared: all of them would grow with their square.
+FIRST = 16
 #: The bitmap of wanted keys has so many bits a key, and 2**27 at most; it only spares work.
 KEY_BITS, MOST_BITS = 16, 27
 #: Members of a bucket whose pairs are counted at once; members within a chunk from which a signature counts as hot.
@@ -196,13 +198,19 @@ def step(shingles: int) -> int:
     return max(1, shingles // COUNTERS // 32)
 
 
+def unpacked(counts: dict[int, bytes]) -> np.ndarray:
+    """The corpus counts by counter; a slice that no task sent has none."""
+    none = bytes(COUNTERS // SLICES)
+    return np.frombuffer(b"".join(zlib.decompress(counts[i]) if i in counts else none for i in range(SLICES)), np.uint8)
+
+
 def words(ids: list[bytes]) -> np.ndarray:
     """Fingerprints of 16 bytes as rows of two 64-bit words."""
     return np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
 
 
-def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np.ndarray, int, frozenset[int]]:
-    """One pass over the texts: the written table (key, n, nid) of all rows, the corpus counts in ``step``s up to 255, the number of shingles, and the clashing words.
+def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, dict[int, bytes], int, frozenset[int]]:
+    """One pass over the texts: the written table (key, n, nid) of all rows, the corpus counts in ``step``s up to 255 (compressed, by slice), the number of shingles, and the clashing words.
 
     nid names the set: the first word of its fingerprint, or the second where
     several sets have the first in common (about n * n / 2**65 of n sets).
@@ -234,16 +242,13 @@ def profiles(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, n
         for x in part.column("part").to_pylist():
             sums += np.frombuffer(zlib.decompress(x), np.uint8)
         graded = np.minimum(sums // step(shingles), 255).astype(np.uint8)
-        return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([graded.tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(graded.tobytes(), 1)], pa.binary())})
 
     longs = [StructField(x, LongType()) for x in ("n", "hi", "lo")]
     both = written(docs.select(key, text).mapInArrow(run, StructType([kind, *longs, *StructType.fromDDL("slice int, part binary").fields])), "profiles")
     rows = both.where("slice is null")
     shingles = int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    counts = np.zeros(COUNTERS, np.uint8)
-    size = COUNTERS // SLICES
-    for r in both.where("slice is not null").select("slice", "part").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():
-        counts[r.slice * size : (r.slice + 1) * size] = np.frombuffer(bytes(r.counts), np.uint8)
+    counts = {r.slice: bytes(r.counts) for r in both.where("slice is not null").select("slice", "part").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect()}
     named = rows.where("n > 0")
     clashes = frozenset(r.hi for r in named.groupBy("hi").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("hi").collect())
     nid = F.when(F.col("hi").isin(sorted(clashes)), F.col("lo")).otherwise(F.col("hi")) if clashes else F.col("hi")
@@ -280,13 +285,13 @@ _SENT = pa.schema([("range", pa.int32()), ("blob", pa.binary()), ("bid", pa.int6
 _MET = pa.schema([("bid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("need", pa.int64())])
 
 
-def buckets(docs: DataFrame, text: str, k: int, num: int, counts: np.ndarray, shingles: int, clashes: frozenset[int]) -> DataFrame:
+def buckets(docs: DataFrame, text: str, k: int, num: int, counts: dict[int, bytes], shingles: int, clashes: frozenset[int]) -> DataFrame:
     """The written table of what met: counted pairs (a, b, shared, need) of small buckets, and members (bid, a) of large ones. A second pass over the texts."""
     ranges = LEAST_RANGES + int(0.8 * shingles // RANGE_ROWS)
     shipped, limit = docs.sparkSession.sparkContext.broadcast(counts), max(20, 3 * shingles // COUNTERS) // step(shingles)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, known = Shingler(k), shipped.value
+        shingler, known = Shingler(k), unpacked(shipped.value)
         held: dict[int, tuple[np.ndarray, int]] = {}
         rows = 0
 
@@ -374,14 +379,15 @@ def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b that share enough signatures or have a hub; members bid, nid of large buckets), both written."""
     large = written(met.where("bid is not null").select("bid", F.col("a").alias("nid")).distinct(), "large")
     pairs = met.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
-    if large.isEmpty():
+    if not (members := large.count()):
         return written(pairs.where("shared >= need").select("a", "b"), "pairs"), large
     # What two sets may share in large buckets isn't counted; it counts as shared in full.
     inside = large.groupBy("nid").agg(F.count("*").alias("c"))
-    both = pairs.join(inside.select(F.col("nid").alias("a"), F.col("c").alias("ca")), "a", "left").join(inside.select(F.col("nid").alias("b"), F.col("c").alias("cb")), "b", "left")
+    ca, cb = (sized(inside.select(F.col("nid").alias(x), F.col("c").alias("c" + x)), members) for x in "ab")
+    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
     enough = both.where(F.col("shared") + F.when(F.col("ca").isNull() | F.col("cb").isNull(), 0).otherwise(F.least("ca", "cb")) >= F.col("need")).select("a", "b")
     hubs = large.groupBy("bid").agg(*[F.min_by("nid", F.xxhash64("nid", F.lit(r))).alias(f"hub{r}") for r in range(HUBS)])
-    led = large.join(hubs, "bid").select("nid", F.explode(F.array(*[f"hub{r}" for r in range(HUBS)])).alias("hub")).where("nid <> hub")
+    led = sized(large, members).join(hubs, "bid").select("nid", F.explode(F.array(*[f"hub{r}" for r in range(HUBS)])).alias("hub")).where("nid <> hub")
     return written(enough.unionByName(led.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b"))).distinct(), "pairs"), large
 
 
@@ -392,8 +398,9 @@ def sets(docs: DataFrame, heads: DataFrame, wanted: DataFrame, key: str, text: s
     the wanted ones ask for up to a bound, says which documents may be wanted;
     what it lets through besides is dropped by the join.
     """
-    asked = written(wanted.join(heads, "nid").select("nid", F.xxhash64("least").alias("h")), "asked")
-    bits = min(MOST_BITS, max(15, (KEY_BITS * asked.count()).bit_length()))
+    asked = written(wanted.join(heads.hint("merge"), "nid").select("nid", F.xxhash64("least").alias("h")), "asked")
+    keys = asked.count()
+    bits = min(MOST_BITS, max(15, (KEY_BITS * keys).bit_length()))
     slot = lambda h: F.pmod(h, F.lit(1 << bits))
     counted = slot(F.col("h")) + 1  # bucket 1 of the bitmap functions begins at value 1
     maps = asked.groupBy(F.bitmap_bucket_number(counted).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(counted)).alias("m")).collect()
@@ -427,7 +434,7 @@ def sets(docs: DataFrame, heads: DataFrame, wanted: DataFrame, key: str, text: s
 
     schema = StructType([*[StructField(x, LongType()) for x in names[:-1]], StructField("shingles", ArrayType(LongType()))])
     made = map_batches(docs.select(text, slot(F.xxhash64(key)).alias("slot")), make, schema)
-    out = written(made.join(asked.select("nid"), "nid", "left_semi").groupBy("nid").agg(*[F.first(x).alias(x) for x in names[1:]]), "sets")
+    out = written(made.join(sized(asked.select("nid"), keys), "nid", "left_semi").groupBy("nid").agg(*[F.first(x).alias(x) for x in names[1:]]), "sets")
     shipped.destroy()
     drop(asked)
     return out
@@ -455,19 +462,21 @@ def verified(pairs: DataFrame, known: DataFrame, num: int) -> DataFrame:
 
 def leftovers(large: DataFrame, labels: DataFrame, known: DataFrame, num: int) -> DataFrame | None:
     """The near pairs (a, b) of different components that meet in large buckets, once each; None if every large bucket lies in one component."""
-    marked = large.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    marked = large.join(sized(labels.select(F.col("node").alias("nid"), "label")), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     counted = marked.groupBy("bid", "label").agg(F.count("*").alias("c")).groupBy("bid").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("c"))
     active = written(marked.join(counted.where("c > 1").select("bid", "most"), "bid"), "active")
     if active.isEmpty():
         drop(active)
         return None
-    listed = active.join(active.groupBy("nid").agg(F.collect_set("bid").alias("bids")), "nid")
-    one, other = _sides(known)
+    # The least common bucket is among the first of both if these have any in common; other pairs may come several times.
+    first = active.groupBy("nid").agg(F.slice(F.array_sort(F.collect_set("bid")), 1, FIRST).alias("bids"))
+    listed = active.join(first.hint("merge"), "nid")
+    one, other = (x.hint("merge") for x in _sides(known))
     left = listed.where("label <> most").select(F.col("bid").alias("xa"), F.col("nid").alias("a"), F.col("label").alias("la"), F.col("bids").alias("ba")).join(one, "a")
     right = listed.select(F.col("bid").alias("xb"), F.col("nid").alias("b"), F.col("label").alias("lb"), F.col("bids").alias("bb"), (F.col("label") == F.col("most")).alias("usual")).join(other, "b")
-    once = (F.col("usual") | (F.col("a") < F.col("b"))) & (F.array_min(F.array_intersect("ba", "bb")) == F.col("xa"))
-    met = left.join(right, (F.col("xa") == F.col("xb")) & (F.col("la") != F.col("lb")) & near(num) & once)
-    out = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    once = (F.col("usual") | (F.col("a") < F.col("b"))) & (F.coalesce(F.array_min(F.array_intersect("ba", "bb")), "xa") == F.col("xa"))
+    met = left.join(right.hint("merge"), (F.col("xa") == F.col("xb")) & (F.col("la") != F.col("lb")) & near(num) & once)
+    out = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     drop(active)
     return out
 
@@ -475,9 +484,9 @@ def leftovers(large: DataFrame, labels: DataFrame, known: DataFrame, num: int) -
 def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> DataFrame:
     """The components (node, label < node) of all links: of the candidate pairs, and within large buckets."""
     one, other = _sides(known)
-    close = written(pairs.join(one, "a").join(other, "b").where(near(num)).select("a", "b"), "close")
+    close = written(sized(pairs).join(one, "a").join(other, "b").where(near(num)).select("a", "b"), "close")
     # A node's link to its least neighbour makes it a child of that neighbour.
-    labels = roots(verified(close.groupBy("b").agg(F.min("a").alias("a")), known, num).select(F.col("b").alias("node"), F.col("a").alias("label")))
+    labels = roots(verified(sized(close.groupBy("b").agg(F.min("a").alias("a")), close.count()), known, num).select(F.col("b").alias("node"), F.col("a").alias("label")))
     labels = _merged(labels, close, known, num)
     if (rest := leftovers(large, labels, known, num)) is not None:
         labels = _merged(labels, rest, known, num)
@@ -488,7 +497,8 @@ def links(pairs: DataFrame, large: DataFrame, known: DataFrame, num: int) -> Dat
 
 def _merged(labels: DataFrame, pairs: DataFrame, known: DataFrame, num: int) -> DataFrame:
     """``labels`` after the pairs between different components are tested, and those of links become one. Deletes ``labels``."""
-    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias("l" + x)) for x in "ab")
+    nodes = labels.count()
+    la, lb = (sized(labels.select(F.col("node").alias(x), F.col("label").alias("l" + x)), nodes) for x in "ab")
     apart = pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
     fresh = written(verified(apart, known, num).select("la", "lb"), "links")
     over = components(fresh, "la", "lb")
@@ -514,7 +524,7 @@ def _classes(docs: DataFrame, key: str, text: str, k: int, num: int) -> tuple[Da
     known = sets(docs, heads, wanted, key, text, k, clashes)
     labels = links(pairs, large, known, num)
     drop(pairs, large, known)
-    members = labels.select(F.col("node").alias("nid"), "label").unionByName(labels.select(F.col("label").alias("nid"), "label").distinct()).join(heads, "nid")
+    members = labels.select(F.col("node").alias("nid"), "label").unionByName(labels.select(F.col("label").alias("nid"), "label").distinct()).join(heads.hint("merge"), "nid")
     whole = members.groupBy("label").agg(F.min("least").alias("component_id"))
     named = heads.join(members.join(whole, "label").select("nid", "component_id"), "nid", "left").select("nid", F.coalesce("component_id", "least").alias("component_id"))
     return profile.join(named, "nid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), "nid"), clashes

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import audio, bpe, components, importance, jaccard, lines, packing, queries, rules, shingles, stages, toxicity, urls, warc
+from tessella.llm.base import written
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 ODD = [None, "", "   \n\t ", "one", "The Quick brown fox's 123 don't", "é É ñ Ñandú ß", "日本語 テキスト", "İstanbul ΑΣ Σ", "a\x1cb\x85c d　e", "<|endoftext|> x<|startoftext|>y", "café ẛ̣", "²³ ½ x²", "w" * 500 + " " + "ab" * 300, "🙂🙂 ok 🙂", "﻿x ​ y", "'S 'LL 'Ve d'accord"]
@@ -308,6 +309,47 @@ def test_large_buckets_of_several_components_are_settled(spark, monkeypatch):
     assert [got[i] for i in range(len(values))] == brute_components(values)
 
 
+def recorded(monkeypatch, module):
+    """Label and plan of every table that ``module`` writes from now on."""
+    plans, write = [], module.written
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(module, "written", seen)
+    return plans
+
+
+@pytest.mark.parametrize("first", [1, 16])
+def test_lists_of_buckets_are_bounded_and_not_broadcast(spark, monkeypatch, first):
+    """Near pairs of different components in 60 buckets, once each; with first = 1 they meet several times."""
+    monkeypatch.setattr(jaccard, "FIRST", first)
+    rng = np.random.default_rng(14)
+    base = np.unique(shingles.mix(rng.integers(0, 1 << 60, 80).astype(np.uint64)))
+    own = [np.unique(np.append(base[1:], np.uint64(i))) if i < 9 else shingles.mix(np.arange(i * 1000, i * 1000 + 80, dtype=np.uint64)) for i in range(12)]
+    names = ["nid", "n", *jaccard.SKETCH]
+    known = spark.createDataFrame([(i, len(s), *jaccard.sketch(s).tolist()) for i, s in enumerate(own)], ", ".join(f"{x} long" for x in names))
+    inside = [(b, i) for b in range(60) for i in range(12) if rng.random() < 0.4]
+    label = [0, 0, 0, 0, 4, 4, 6, 7, 8, 9, 10, 11]
+    plans = recorded(monkeypatch, jaccard)
+    tables = [written(spark.createDataFrame(rows, ddl), "given") for rows, ddl in ((inside, "bid long, nid long"), ([(i, x) for i, x in enumerate(label) if i != x], "node long, label long"))]
+    got = sorted(map(tuple, jaccard.leftovers(*tables, known, 75).collect()))
+    assert got == sorted({(a, b) for x, a in inside for y, b in inside if x == y and a < b < 9 and label[a] != label[b]})
+    assert "collect_set" in plans[-1][1] and "Broadcast" not in plans[-1][1]
+
+
+def test_members_of_large_buckets_are_broadcast_only_if_few(spark, monkeypatch):
+    """A table of a few kilobytes, as its values repeat, of many rows."""
+    plans = recorded(monkeypatch, jaccard)
+    wide = spark.range(0, 300_000, 1, 2).select((F.col("id") % 100).alias("bid"), F.expr("id div 100").alias("a"), *[F.lit(None).cast("long").alias(x) for x in ("b", "shared", "need")])
+    pairs, large = jaccard.candidates(wide)
+    assert large.count() == 300_000 and pairs.count() > 0
+    assert "Broadcast" not in dict(plans)["pairs"]
+    pairs, large = jaccard.candidates(wide.where("a < 100"))
+    assert large.count() == 10_000 and "Broadcast" in plans[-1][1]
+
+
 def test_representatives_keep_one_of_each_group(spark):
     same = " ".join(WORDS)
     df = texts(spark, [same, same + " end", "other words entirely here now", None, ""])
