@@ -293,6 +293,19 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: p for i, p in enumerate(parent) if i != p}
 
 
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    pairs = [*rng.integers(0, 60, (45, 2)).tolist(), *[(100 + i, 101 + i) for i in range(6)], (None, 3)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    plans = recorded(monkeypatch, components)
+    few = sorted(map(tuple, components.components(df).collect()))
+    assert len(plans) == 2
+    monkeypatch.setattr(components, "LOCAL", 8)
+    assert sorted(map(tuple, components.components(df).collect())) == few
+    named = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y")], "a string, b string")
+    assert sorted(map(tuple, components.components(named).collect())) == [("b", "a"), ("c", "a"), ("y", "x")]
+
+
 def test_large_buckets_of_several_components_are_settled(spark, monkeypatch):
     """Documents that share one passage, and near copies among them that no hub links."""
     monkeypatch.setattr(jaccard, "SMALL", 1)
