@@ -130,12 +130,13 @@ def count_matches(s, pattern: str) -> Column:
 def _matches(s, pattern: str) -> Column:
     """array<struct<gap, size>>: the length of every match (it may be 0) and of the text between it and the match before.
 
-    Matches are marked by two code points that are no characters (U+FDD0, U+FDD1); texts hold none.
+    Matches are marked by two code points that are no characters (U+FDD0, U+FDD1); texts hold none. The mark behind a match
+    also parts the text, so that a part holds one gap and one match: no part is looked up from within a lambda, which
+    would replace and part the whole text anew for every match.
     """
-    parts = F.split(F.regexp_replace(col(s), pattern, "\ufdd0$0\ufdd1"), "\ufdd0", -1)
-    size = lambda x: F.instr(x, "\ufdd1") - 1
-    before = lambda i: F.length(F.get(parts, i)) - F.when(i == 0, 0).otherwise(F.instr(F.get(parts, i), "\ufdd1"))
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.struct(before(i).alias("gap"), size(x).alias("size")))
+    parts = F.split(F.regexp_replace(col(s), pattern, "\ufdd1$0\ufdd0"), "\ufdd0", -1)
+    at = lambda x: F.instr(x, "\ufdd1")
+    return F.transform(F.filter(parts, lambda x: at(x) > 0), lambda x: F.struct((at(x) - 1).alias("gap"), (F.length(x) - at(x)).alias("size")))
 
 
 def find_locations(s, pattern: str) -> Column:

@@ -70,6 +70,14 @@ def test_peel_and_locations(spark):
     assert sorted((x.k, x.start, x.length) for x in strings.locations(df, "k", "s", "_+").collect()) == [(1, 0, 1), (1, 2, 2), (1, 5, 1)]
 
 
+def test_locations_read_a_text_once(spark):
+    """Each text is replaced and parted once, not once for every match."""
+    df = spark.createDataFrame([(1, "é𝄞the, " * 3000), (2, ""), (3, None), (4, "the")], "k int, s string")
+    found = strings.locations(df, "k", "s", "the")
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 1
+    assert sorted((x.k, x.n, x.start, x.length) for x in found.collect()) == [(1, i, 7 * i + 2, 3) for i in range(3000)] + [(4, 0, 0, 3)]
+
+
 @pytest.mark.parametrize("t", ["2024-12-30 23:30:00", "2021-01-01 00:00:00", "1969-12-31 23:59:59.999999", "2024-02-29 12:29:59"])
 def test_times(spark, t):
     import datetime
