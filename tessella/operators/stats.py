@@ -75,26 +75,31 @@ def quantile_place(n: int, q: float, method: str) -> tuple[int, int, float]:
 
 
 def quantiles(df: DataFrame, column: str, qs: Sequence[float], method: str = "linear") -> DataFrame:
-    """(q, value): exact, with any of the sample-quantile definitions.
+    """(q, value): exact, with any of the sample-quantile definitions."""
+    return quantiles_by_methods(df, column, qs, [method]).select("q", "value")
+
+
+def quantiles_by_methods(df: DataFrame, column: str, qs: Sequence[float], methods: Sequence[str]) -> DataFrame:
+    """(method, q, value): exact, with several sample-quantile definitions from one sort.
 
     Equal values are counted first, so a frequent one is a single row; the order
-    statistics needed are looked up in a two-level running count of the distinct
-    values, which are sorted once and never gathered.
+    statistics needed by any definition are looked up in a two-level running count
+    of the distinct values, which are sorted once and never gathered.
     """
     from tessella.operators.position import running
 
     clean = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     n = clean.count()
     if not n:
-        return df.sparkSession.createDataFrame([], "q double, value double")
-    places = [(float(q), *quantile_place(n, q, method)) for q in qs]
-    asked = df.sparkSession.createDataFrame(places, "q double, lo long, hi long, w double")
-    want = sorted({p for _, lo, hi, _ in places for p in (lo, hi)})
+        return df.sparkSession.createDataFrame([], "method string, q double, value double")
+    places = [(method, float(q), *quantile_place(n, q, method)) for method in methods for q in qs]
+    asked = df.sparkSession.createDataFrame(places, "method string, q double, lo long, hi long, w double")
+    want = sorted({p for *_, lo, hi, _ in places for p in (lo, hi)})
     counted = running(clean.groupBy("v").agg(F.count("*").alias("c")), ["v"], F.col("c"), "upto")
     held = F.filter(F.array(*[F.lit(x).cast("long") for x in want]), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("c")))
     picked = counted.select("v", F.explode(held).alias("pos"))
     a, b = F.broadcast(picked.select(F.col("pos").alias("lo"), F.col("v").alias("vlo"))), F.broadcast(picked.select(F.col("pos").alias("hi"), F.col("v").alias("vhi")))
-    return asked.join(a, "lo").join(b, "hi").select("q", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("w")).alias("value"))
+    return asked.join(a, "lo").join(b, "hi").select("method", "q", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("w")).alias("value"))
 
 
 def _grouped_place(n: Column, q: float, method: str) -> tuple[Column, Column, Column]:

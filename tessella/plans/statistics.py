@@ -48,12 +48,8 @@ v AS (SELECT q, method, w, s[CAST(greatest(least(lo, n - 1), 0) AS BIGINT) + 1]
 SELECT q, round(a + (b - a) * w, 6) AS value, method FROM v""")
 def q_quantile_methods(spark, d):
     """All definitions of a sample quantile."""
-    df = table(spark, d, "orders")
-    out = None
-    for name in stats.METHODS:
-        one = stats.quantiles(df, "o_totalprice", [0.1, 0.5, 0.9], name).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("value", F.round("value", 6))
+    found = stats.quantiles_by_methods(table(spark, d, "orders"), "o_totalprice", [0.1, 0.5, 0.9], stats.METHODS)
+    return found.select("q", F.round("value", 6).alias("value"), "method")
 
 
 NAMES = ("l_quantity", "l_extendedprice", "l_discount")

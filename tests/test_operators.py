@@ -88,6 +88,19 @@ def test_quantiles_like_numpy(spark, method):
         assert got[q] == pytest.approx(float(np.quantile(xs, q, method=method))), (method, q)
 
 
+def test_quantiles_of_all_methods_sort_once(spark, monkeypatch):
+    """All definitions share one running count; repeats, nulls and NaN among the values."""
+    xs = [3.0, 1.0, 3.0, None, 1.5, 9.0, float("nan"), 2.6, 3.0]
+    sorts, plain = [], position.running
+    monkeypatch.setattr(position, "running", lambda *a, **k: sorts.append(a) or plain(*a, **k))
+    qs, kept = [0.0, 0.1, 0.35, 0.5, 0.8, 1.0], [x for x in xs if x is not None and x == x]
+    rows = stats.quantiles_by_methods(spark.createDataFrame([(x,) for x in xs], "x double"), "x", qs, stats.METHODS).collect()
+    assert len(sorts) == 1 and len(rows) == len(qs) * len(stats.METHODS)
+    for r in rows:
+        assert r.value == pytest.approx(float(np.quantile(kept, r.q, method=r.method))), (r.method, r.q)
+    assert stats.quantiles_by_methods(spark.createDataFrame([(None,)], "x double"), "x", qs, stats.METHODS).collect() == []
+
+
 def test_histogram_like_numpy(spark):
     xs = np.random.default_rng(1).normal(size=500)
     want, _ = np.histogram(xs, 9)
