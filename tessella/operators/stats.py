@@ -84,7 +84,8 @@ def quantiles_by_methods(df: DataFrame, column: str, qs: Sequence[float], method
 
     Equal values are counted first, so a frequent one is a single row; the order
     statistics needed by any definition are looked up in a two-level running count
-    of the distinct values, which are sorted once and never gathered.
+    of the distinct values, which are sorted once and never gathered; only those
+    found, two at most a definition and q, are put into one map.
     """
     from tessella.operators.position import running
 
@@ -97,9 +98,9 @@ def quantiles_by_methods(df: DataFrame, column: str, qs: Sequence[float], method
     want = sorted({p for *_, lo, hi, _ in places for p in (lo, hi)})
     counted = running(clean.groupBy("v").agg(F.count("*").alias("c")), ["v"], F.col("c"), "upto")
     held = F.filter(F.array(*[F.lit(x).cast("long") for x in want]), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("c")))
-    picked = counted.select("v", F.explode(held).alias("pos"))
-    a, b = F.broadcast(picked.select(F.col("pos").alias("lo"), F.col("v").alias("vlo"))), F.broadcast(picked.select(F.col("pos").alias("hi"), F.col("v").alias("vhi")))
-    return asked.join(a, "lo").join(b, "hi").select("method", "q", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("w")).alias("value"))
+    picked = counted.select("v", F.explode(held).alias("pos")).agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("at"))
+    low, high = F.col("at")[F.col("lo")], F.col("at")[F.col("hi")]
+    return asked.crossJoin(F.broadcast(picked)).select("method", "q", (low + (high - low) * F.col("w")).alias("value"))
 
 
 def _grouped_place(n: Column, q: float, method: str) -> tuple[Column, Column, Column]:
